@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from proofloom.llm import q_overlap, q_terms
+from proofloom.llm import q_overlap, q_terms, q_text
 
-MODULES = [q_terms, q_overlap]
+MODULES = [q_terms, q_overlap, q_text]
 
 
 def queries() -> dict:
