@@ -1,11 +1,11 @@
-"""Queries of problems 6 (token ids) and 7 (mixing sources)."""
+"""Queries of problems 6 (token ids), 7 (mixing sources) and 8 (truncated texts)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import encode, mix
+from proofloom.llm import encode, mix, truncation
 from proofloom.session import cut
 from proofloom.sources.tables import table
 
@@ -42,6 +42,22 @@ def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
     return emitted.select(F.col("id").alias("doc_id"), "source", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
 
 
+def p8_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Ending, limit, posterior and verdict of every document."""
+    documents = table(spark, directory, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return truncation.truncated(documents).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents that broke off."""
+    return p8_scores(spark, directory).where("truncated").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, directory: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.rates_by_source(p8_scores(spark, directory))
+
+
 SQL = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_shares, p7_mix)}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_sources)}
