@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from proofloom.plans import core_p, core_p_sql
+from proofloom.plans import core_p, core_p_sql, q_metrics
+
+MODULES = [q_metrics]
 
 
 def queries() -> dict:
-    return dict(core_p.QUERIES)
+    return core_p.QUERIES | {n: f for m in MODULES for n, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core_p_sql.SQL)
+    return core_p_sql.SQL | {n: s for m in MODULES for n, s in m.SQL.items()}
