@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from proofloom.plans import core_p, core_p_sql, q_graph, q_metrics
+from proofloom.plans import core_p, core_p_sql, q_graph, q_metrics, q_structure
 
-MODULES = [q_metrics, q_graph]
+MODULES = [q_metrics, q_graph, q_structure]
 
 
 def queries() -> dict:
