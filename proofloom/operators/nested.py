@@ -185,9 +185,9 @@ def conform(df: DataFrame, text: str, schema: T.StructType, out: str, rename: di
         return f"try_variant_get({base}, '{path}', '{t.simpleString()}')"
 
     # the brackets make anything after the first value show: as broken text or as a second entry
-    parsed = df.select("*", F.expr(f"explode(array(try_parse_json(concat('[', `{text}`, ']'))))").alias("_json"))
-    typed = build("_json", "$[0]", schema, 1)
-    lone = "_json is not null and try_variant_get(_json, '$[1]', 'variant') is null"
+    parsed = df.select("*", F.expr(f"explode(array(try_parse_json(concat('[', `{text}`, ']'))))").alias("__json"))
+    typed = build("__json", "$[0]", schema, 1)
+    lone = "__json is not null and try_variant_get(__json, '$[1]', 'variant') is null"
     return parsed.select(*[F.col(f"`{c}`") for c in df.columns], F.expr(f"explode(array(if({lone}, {typed}, null)))").alias(out))
 
 

@@ -35,15 +35,15 @@ def number_within_keys(df: DataFrame, keys: list[str], order: list[str], number:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    placed = df.withColumn("_tie", tie).repartitionByRange(n, *[F.col(f"`{c}`").asc_nulls_first() for c in order], F.col("_tie"))
-    placed = cut(placed.withColumn("_part", F.spark_partition_id()), "placed")
-    counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", *keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part", *keys).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order], "_tie")
-    rows = placed.withColumn("_place", F.row_number().over(inside))
-    joined = rows.join(offsets, _same(rows, offsets, ["_part", *keys]), "inner")
-    return joined.select(*[rows[c] for c in df.columns], (F.col("_offset") + F.col("_place")).alias(number))
+    placed = df.withColumn("__tie", tie).repartitionByRange(n, *[F.col(f"`{c}`").asc_nulls_first() for c in order], F.col("__tie"))
+    placed = cut(placed.withColumn("__part", F.spark_partition_id()), "placed")
+    counts = placed.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", *keys, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__part", *keys).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order], "__tie")
+    rows = placed.withColumn("__place", F.row_number().over(inside))
+    joined = rows.join(offsets, _same(rows, offsets, ["__part", *keys]), "inner")
+    return joined.select(*[rows[c] for c in df.columns], (F.col("__offset") + F.col("__place")).alias(number))
 
 
 def key_statistics(df: DataFrame, keys: list[str], distinct: str, total: str, names: tuple[str, str, str] = ("rows", "total", "distinct"), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -57,16 +57,16 @@ def key_statistics(df: DataFrame, keys: list[str], distinct: str, total: str, na
     value, amount = F.col("_value"), F.col("_amount")
     base = df.select(*keys, F.col(f"`{distinct}`").alias("_value"), F.col(f"`{total}`").alias("_amount"))
     numbered = number_within_keys(base, keys, ["_value"])
-    chunked = numbered.withColumn("_chunk", F.floor((F.col("_number") - 1) / F.lit(chunk_rows)))
-    runs = chunked.groupBy(*keys, "_chunk", value).agg(F.count(F.lit(1)).alias("_rows"), F.sum(amount).alias("_sum"))
-    states = runs.groupBy(*keys, "_chunk").agg(
-        F.sum("_rows").alias("_rows"), F.sum("_sum").alias("_sum"), F.count(value).alias("_distinct"), F.min(value).alias("_first"), F.max(value).alias("_last")
+    chunked = numbered.withColumn("__chunk", F.floor((F.col("_number") - 1) / F.lit(chunk_rows)))
+    runs = chunked.groupBy(*keys, "__chunk", value).agg(F.count(F.lit(1)).alias("__rows"), F.sum(amount).alias("__sum"))
+    states = runs.groupBy(*keys, "__chunk").agg(
+        F.sum("__rows").alias("__rows"), F.sum("__sum").alias("__sum"), F.count(value).alias("__distinct"), F.min(value).alias("__first"), F.max(value).alias("__last")
     )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    shared = F.coalesce((F.lag("_last").over(along) == F.col("_first")).cast("bigint"), F.lit(0))
-    merged = states.withColumn("_shared", shared).groupBy(*keys)
+    along = Window.partitionBy(*keys).orderBy("__chunk")
+    shared = F.coalesce((F.lag("__last").over(along) == F.col("__first")).cast("bigint"), F.lit(0))
+    merged = states.withColumn("__shared", shared).groupBy(*keys)
     return merged.agg(
-        F.sum("_rows").alias(names[0]), F.coalesce(F.sum("_sum"), F.lit(0)).alias(names[1]), F.sum(F.col("_distinct") - F.col("_shared")).alias(names[2])
+        F.sum("__rows").alias(names[0]), F.coalesce(F.sum("__sum"), F.lit(0)).alias(names[1]), F.sum(F.col("__distinct") - F.col("__shared")).alias(names[2])
     )
 
 
@@ -81,22 +81,22 @@ def join_key_values(big: DataFrame, values: DataFrame, on: list[str], weight: st
     extra = [c for c in values.columns if c not in on]
     rows = values.agg(F.sum(weight)).first()[0] or 0
     hot_test = F.col(weight) * hot_keys > F.lit(rows)
-    hot = values.where(hot_test).select(*[F.col(c).alias(f"_h_{c}") for c in on], F.struct(*extra).alias("_hot"))
-    cold = values.where(~hot_test).select(*[F.col(c).alias(f"_c_{c}") for c in on], F.struct(*extra).alias("_cold"), F.lit(0).alias("_salt_c"))
+    hot = values.where(hot_test).select(*[F.col(c).alias(f"__h_{c}") for c in on], F.struct(*extra).alias("__hot"))
+    cold = values.where(~hot_test).select(*[F.col(c).alias(f"__c_{c}") for c in on], F.struct(*extra).alias("__cold"), F.lit(0).alias("__salt_c"))
     left = big
     test = None
     for c in on:
-        t = left[c] == hot[f"_h_{c}"]
+        t = left[c] == hot[f"__h_{c}"]
         test = t if test is None else test & t
-    left = left.join(F.broadcast(hot), test, "left").drop(*[f"_h_{c}" for c in on])
+    left = left.join(F.broadcast(hot), test, "left").drop(*[f"__h_{c}" for c in on])
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(1 << 20)).cast("int") + 1
     missing = F.lit(False)
     for c in on:
         missing = missing | F.col(c).isNull()
-    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull() | missing, spread).otherwise(0))
-    test = left["_salt"] == cold["_salt_c"]
+    left = left.withColumn("__salt", F.when(F.col("__hot").isNotNull() | missing, spread).otherwise(0))
+    test = left["__salt"] == cold["__salt_c"]
     for c in on:
-        test = test & (left[c] == cold[f"_c_{c}"])
+        test = test & (left[c] == cold[f"__c_{c}"])
     joined = left.join(cold, test, "left")
-    got = F.coalesce(F.col("_hot"), F.col("_cold"))
+    got = F.coalesce(F.col("__hot"), F.col("__cold"))
     return joined.select(*[left[c] for c in big.columns], *[got[c].alias(c) for c in extra])
