@@ -45,7 +45,7 @@ def _run(shared, counts_only: bool):
 def _apply(df: DataFrame, text: str, out: str, kind: str, counts_only: bool, path: str | None) -> DataFrame:
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(path or tokenizer_path()))  # a fixed size, about a megabyte
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, out)]  # a column named ``out`` gives way
     renamed = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
     schema = ", ".join(f"_{i} {renamed.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep)))
     made = renamed.mapInArrow(_run(shared, counts_only), f"{schema}{', ' if keep else ''}_made {kind}")
@@ -75,4 +75,4 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None
         vocabulary = shared.value
         return column.map(lambda x: None if x is None else vocabulary.decode(x))
 
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ids], text_of(F.col(f"`{ids}`")).alias(out))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (ids, out)], text_of(F.col(f"`{ids}`")).alias(out))
