@@ -26,11 +26,11 @@ class Mix:
 
     def shares(self) -> DataFrame:
         """``plan`` with mix_documents, mix_size and actual_share (of the whole mix; null if the mix is empty)."""
-        own = self.emitted.groupBy("source").agg(F.sum("copies").alias("mix_documents"), F.sum(F.col("copies") * F.col("size")).alias("mix_size"))
+        own = cut(self.emitted.groupBy("source").agg(F.sum("copies").alias("mix_documents"), F.sum(F.col("copies") * F.col("size")).alias("mix_size")), "mix-shares")
         report = self.plan.join(own, "source", "left").fillna(0, ["mix_documents", "mix_size"])
-        whole = own.agg(F.sum("mix_size").alias("_whole"))  # one row
-        share = F.round(F.col("mix_size") / F.when(F.col("_whole") > 0, F.col("_whole")), 6)
-        return report.join(F.broadcast(whole)).withColumn("actual_share", share).drop("_whole")
+        whole = own.agg(F.sum("mix_size")).first()[0] or 0
+        share = F.round(F.col("mix_size") / F.lit(float(whole)), 6) if whole else F.lit(None).cast("double")
+        return report.withColumn("actual_share", share)
 
 
 def mix_sources(documents: DataFrame, weights: DataFrame, size: int | None = None, seed: int = 0) -> Mix:
@@ -47,8 +47,8 @@ def mix_sources(documents: DataFrame, weights: DataFrame, size: int | None = Non
     docs = documents.select("id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"))
     held = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("tokens"))
     plan = weights.join(held, "source", "left").fillna(0, ["documents", "tokens"])
-    total = plan.agg(F.sum("tokens").alias("all_tokens"))  # one row
-    plan = plan.join(F.broadcast(total))
+    plan = cut(plan, "mix-totals")
+    plan = plan.withColumn("all_tokens", F.lit(plan.agg(F.sum("tokens")).first()[0] or 0).cast("bigint"))
     wanted = F.col("target_weight") * (F.lit(size) if size is not None else F.col("all_tokens"))
     reach = F.col("tokens") * F.col("max_repeats")
     expected = F.when((F.col("tokens") > 0) & (wanted > 0), F.least(wanted / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
