@@ -81,8 +81,8 @@ def pagerank(nodes: DataFrame, links: DataFrame, weighted: bool = False, damping
     ranks = cut(ids.withColumn("rank", F.lit(1.0 / n)), "ranks")
     for _ in range(rounds):
         got = cut(ranks.join(steps, ranks["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got")), "got")
-        spread = got.where("id is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("spread"))  # one row
-        ranks = ids.join(got, "id", "left").join(F.broadcast(spread)).select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("spread") / n)).alias("rank"))
+        spread = got.where("id is null").agg(F.sum("got")).first()[0] or 0.0
+        ranks = ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(spread / n))).alias("rank"))
     return cut(ranks, "ranks")
 
 

@@ -27,8 +27,11 @@ def summary(declarations: DataFrame, edges: DataFrame, expressions: DataFrame) -
     sized = expressions.join(declarations, "decl_id", "left_semi")
     sums = [F.sum(F.when(F.col("layer") == side, F.col(c))).alias(f"{side}_{n}") for side in ("statement", "proof") for c, n in (("total_occurrences", "occurrences"), ("unique_nodes", "unique_nodes"))]
     links = edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if("target_in_corpus").alias("internal_edges"), F.sum("occurrences").alias("edge_occurrences"))
-    # three single rows side by side
-    return own.withColumn("_", F.lit(1)).join(sized.agg(*sums).withColumn("_", F.lit(1)), "_").join(links.withColumn("_", F.lit(1)), "_").drop("_")
+    # the three single rows are stacked, each null where another has its figures, and folded into one
+    parts = [own, sized.agg(*sums), links]
+    names = [c for p in parts for c in p.columns]
+    stacked = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in names])
 
 
 def distribution(df: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -73,7 +76,7 @@ def constant_frequencies(expressions: DataFrame) -> DataFrame:
     return sums.withColumn("place", F.row_number().over(Window.partitionBy("decl_id", "layer").orderBy(F.desc("occurrences"), "name")).cast("bigint"))
 
 
-def rank(declarations: DataFrame, edges: DataFrame, expressions: DataFrame, metric: str, limit: int) -> DataFrame:
+def rank(declarations: DataFrame, edges: DataFrame | None, expressions: DataFrame, metric: str, limit: int) -> DataFrame:
     """The first ``limit`` declarations by (value desc, name), null values as 0. ``metric``: axioms, or statement-/proof-/value- with occurrences, unique-nodes, constants or dependencies."""
     side, _, what = metric.replace("value-", "proof-").partition("-")
     columns = {"occurrences": "total_occurrences", "unique-nodes": "unique_nodes", "constants": "distinct_constants"}

@@ -138,8 +138,9 @@ def theorem_rankings(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_totals(spark: SparkSession, d: str) -> DataFrame:
     nodes, links = _graph(spark, d)
-    one = nodes.agg(F.count(F.lit(1)).alias("declarations")).withColumn("_", F.lit(1))
-    return one.join(links.agg(F.count(F.lit(1)).alias("connections"), F.sum("weight").alias("occurrences")).withColumn("_", F.lit(1)), "_").drop("_")
+    own, between = nodes.agg(F.count(F.lit(1)).alias("declarations")), links.agg(F.count(F.lit(1)).alias("connections"), F.sum("weight").alias("occurrences"))
+    names = [*own.columns, *between.columns]
+    return own.unionByName(between, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
 QUERIES = {

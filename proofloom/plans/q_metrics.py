@@ -83,7 +83,8 @@ def constant_frequencies(spark: SparkSession, d: str) -> DataFrame:
 def _rank(metric: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         c = Corpus(spark, d)
-        declarations, edges = c.filtered(DEFAULT)
+        declarations = DEFAULT.declarations(c.declarations)
+        edges = DEFAULT.edges(c.edges, c.declarations) if metric.endswith("dependencies") else None
         return metrics.rank(declarations, edges, c.expressions, metric, 100)
 
     query.__name__ = f"rank_{metric.replace('-', '_')}"
