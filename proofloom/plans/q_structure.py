@@ -195,10 +195,46 @@ def validation_steps(spark: SparkSession, d: str) -> DataFrame:
     return validate.step_rules(Corpus(spark, d).outlines)
 
 
+def shared_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """For every compared pair the targets that both sides depend on, by the corpus's visible edges."""
+    c = Corpus(spark, d)
+    edges = DEFAULT.edges(c.edges, c.declarations).select("source", "target").distinct()
+    sets = cut(edges.groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("targets")), "targets-of")  # as long as a declaration's own list
+    pairs = table(spark, d, "declaration_comparisons").select("comparison_id", "left_name", "right_name").distinct()
+    both = pairs.join(sets.toDF("left_name", "l"), "left_name").join(sets.toDF("right_name", "r"), "right_name")
+    shared = F.array_sort(F.array_intersect("l", "r"))
+    return both.select("comparison_id", F.size(shared).cast("bigint").alias("shared"), F.array_join(shared, ";").alias("targets"))
+
+
+def declaration_dependents(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct sources of every declaration, whatever the filter."""
+    edges = Corpus(spark, d).edges.where("target_in_corpus")
+    return edges.groupBy("target").agg(F.countDistinct("source_id").alias("direct_dependents"))
+
+
+def visible_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The end points of the grouped graph: groups with several members, and single declarations, with their direct dependents."""
+    _, ends = _groups(spark, d)
+    own = ends.groupBy("endpoint").agg(F.count(F.lit(1)).alias("members"))
+    return own.join(group_dependents(spark, d).withColumnRenamed("prerequisite", "endpoint"), "endpoint", "left").fillna(0, ["direct_dependents"])
+
+
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations and an order-free checksum of their names and statements: the sum of the first 32 bits of each one's MD5."""
+    rows = Corpus(spark, d).declarations
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", "name", "type_text")), 1, 8), 16, 10).cast("bigint")
+    return rows.agg(F.count(F.lit(1)).alias("declarations"), F.sum(part).alias("checksum"))
+
+
+def proof_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The layer of every step: one below the deepest of its prerequisites."""
+    return proof.per_record(_records(spark, d), ["outline_id"], proof.layer_rows, "step bigint, layer bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        expression_sizes, kind_proportions, duplicates_exact, duplicates_alpha, repeated_structures, repeated_for_declaration, node_labels, compare_declarations, neighbors_top3, equivalence_groups,
+        shared_dependencies, declaration_dependents, visible_graph, corpus_fingerprint, proof_layers, expression_sizes, kind_proportions, duplicates_exact, duplicates_alpha, repeated_structures, repeated_for_declaration, node_labels, compare_declarations, neighbors_top3, equivalence_groups,
         equivalence_graphs, grouped_edges, group_dependents, bootstrap, witness_edges, proof_edges, proof_closure, proof_paths, proof_outline, proof_outline_edges, outline_rarity, validation_violations,
         validation_graphs, validation_steps,
     )
@@ -226,6 +262,15 @@ ge as (select f.*, u.endpoint "user", p.endpoint prerequisite from f join ends u
 MEANT = "not starts_with({n}, 'inst') and not contains({n}, '.to') and not contains({n}, '.match_') and {n} not in (" + ", ".join(f"'{x}'" for x in proof.PLUMBING) + ")"
 
 SQL = {
+    "shared_dependencies": f"""with {BASE}, p as (select distinct comparison_id, left_name, right_name from declaration_comparisons), s as (select source, list_sort(list(distinct target)) t from f group by 1),
+i as (select comparison_id, list_sort(list_intersect(a.t, b.t)) t from p join s a on p.left_name = a.source join s b on p.right_name = b.source)
+select comparison_id, len(t)::bigint "shared", array_to_string(t, ';') targets from i""",
+    "declaration_dependents": f"with {BASE} select target, count(distinct source_id) direct_dependents from e where target_in_corpus group by 1",
+    "visible_graph": f"""with {GROUPS}, o as (select endpoint, count(*) members from ends group by 1), g as (select prerequisite, count(distinct source_id) n from ge group by 1)
+select endpoint, members, coalesce(n, 0) direct_dependents from o left join g on o.endpoint = g.prerequisite""",
+    "corpus_fingerprint": f"with {BASE} select count(*) declarations, sum(('0x' || left(md5(concat_ws('|', name, type_text)), 8))::bigint)::bigint checksum from d",
+    "proof_layers": f"""with recursive {EDGES}, ly as (select outline_id, step, 0 as depth from st union select ly.outline_id, pe.step, ly.depth + 1 from ly join pe on ly.outline_id = pe.outline_id and ly.step = pe.prerequisite)
+select outline_id, step, max(depth)::bigint layer from ly group by 1, 2""",
     "node_labels": f"""with {STEPS}, nd as (select unnest(g.nodes) n from st)
 select concat_ws(' ', n.kind, n.name, '#' || n.var_index, n.binder_info, n.value_text, case when len(n.universe_levels) > 0 then 'levels=' || array_to_string(n.universe_levels, ',') end) as "label", count(*) nodes from nd where n is not null group by 1""",
     "compare_declarations": f"""with {FEATURES}, pairs as (select distinct comparison_id, left_name, right_name, layer from declaration_comparisons),
