@@ -3,9 +3,10 @@
 Three steps. (1) How a text ends is put into one of a few classes by expressions on its last line. (2) Per source the lengths of
 texts are modelled as log-normal and right-censored: at a limit of a field, a share of the texts that would be longer is cut to it. The model is
 fitted by maximum likelihood from per-source sums, limits being lengths (in characters or bytes) far more frequent than their surroundings; it
-gives each value at a limit the posterior probability of being cut there. (3) The ending classes' frequencies among cut and whole texts, and the rate
-of texts that broke off elsewhere, are estimated by expectation maximisation over the counts of (source, at a limit, class); Bayes' rule
-combines both kinds of evidence for each text.
+gives each value at a limit the posterior probability of being cut there. (3) The ending classes' frequencies among cut and whole texts, and the rates
+of texts that broke off at a source's limits and elsewhere, are estimated by expectation maximisation over the counts of (source, at a limit, class);
+Bayes' rule combines both kinds of evidence for each text: its prior odds are those of its source's rate, at a limit together with the posterior of
+its own length, which weighs as much as ``CENSORED`` texts.
 """
 
 from __future__ import annotations
@@ -33,10 +34,19 @@ ODDS = {
     "open": 100.0,
     "dots": 5.0,
     "abbreviation": 0.5,
+    "name_line": 0.05,
+    "label_line": 0.05,
+    "formula_line": 0.05,
+    "signature": 0.05,
+    "name_stop": 0.05,
 }
-# Ends as they were written; such a text is whole wherever it ends.
-ENDS = ("stop", "mark", "block_end", "log_end", "phrase", "name_line", "label_line", "formula_line", "signature")
+# Ends that could be as they were written or lie inside the line or name: a break at a random place falls there about as often as that last line's share of its text.
+# Such an ending alone never speaks for a break: its odds stay at 1 or less.
+LINES = ("name_line", "label_line", "formula_line", "signature", "name_stop")
+# Ends that close what they end; such a text isn't inside anything, wherever it ends.
+ENDS = ("stop", "mark", "block_end", "log_end", "phrase")
 PSEUDO = 20.0
+CENSORED = 20.0
 OWN_RATES = 10_000
 
 
@@ -62,6 +72,7 @@ def ending(text: str) -> F.Column:
         ("_z rlike '[∎■□▪]$'", "mark"),
         ("_z rlike '(^|[^\\\\p{L}])(e\\\\. ?g|e|z|i\\\\. ?e|z\\\\. ?B|d\\\\. ?h|p\\\\. ?ej|cf|vgl|Fig|Nr|No)\\\\.$'", "abbreviation"),
         (f"{odd('`', '_l')} or {more('(', ')')} or {more('«', '»')}", "open_pair"),
+        ("_z rlike '[^\\\\s._«»`]+[._][^\\\\s«»`]*[^\\\\s«».,;:!?)`]\\\\.$' and not _z rlike '[0-9]\\\\.$'", "name_stop"),
         ("_z rlike '[.!?。！？][\\\\)\\\\]\"”’»』」*_`]*$'", "stop"),
         ("_l rlike '^(    |\\\\t)'", "formula_line"),
         (f"_l rlike '^\\\\s*(?:[-*•]|[0-9]+[.)]|\\\\[[0-9]{{1,2}}\\\\]) {name}$'", "name_line"),
@@ -130,37 +141,45 @@ def field_limits(rows: DataFrame, share: float = SPIKE_SHARE, ratio: float = SPI
     return fits.groupBy("_source", "unit").applyInPandas(_log_normal, "_source string, unit string, length int, tau double")
 
 
+def _prior(at: bool, broken: float, n: float, tau: float) -> float:
+    """The share of broken-off texts among those of a group: at a limit counted together with ``CENSORED`` texts of which tau are cut."""
+    share = (broken + CENSORED * tau) / (n + CENSORED) if at else (broken + 0.02) / (n + 1.0)
+    return min(max(share, 1e-6), 1 - 1e-6)
+
+
 def _rates(counts: pd.DataFrame) -> tuple[dict[str, float], pd.DataFrame]:
-    """Log odds of the classes and the share of broken-off texts of every (group, at_limit), from counts by (_group, at_limit, ending, n, tau)."""
-    groups = counts.groupby(["_group", "at_limit"], as_index=False).agg(n=("n", "sum"), tau=("tau", "sum"))
-    groups["rate"] = [min(max(t / n, 1e-6), 1 - 1e-6) if at else 0.05 for t, n, at in zip(groups.tau, groups.n, groups.at_limit)]
-    rate = {(g, at): r for g, at, r in zip(groups._group, groups.at_limit, groups.rate)}
-    size = {(g, at): n for g, at, n in zip(groups._group, groups.at_limit, groups.n)}
-    undecided = [(g, at, e, n) for g, at, e, n in zip(counts._group, counts.at_limit, counts.ending, counts.n) if e in ODDS]
+    """Log odds of the classes, and of every (group, at_limit) its texts and how many of them broke off, from counts by (_group, at_limit, ending, n, tau)."""
+    groups = counts.groupby(["_group", "at_limit"], as_index=False).agg(n=("n", "sum"))
+    size = {(g, at): float(n) for g, at, n in zip(groups._group, groups.at_limit, groups.n)}
+    undecided = [(g, at, e, n, t / n) for g, at, e, n, t in zip(counts._group, counts.at_limit, counts.ending, counts.n, counts.tau) if e in ODDS]
+    lowest = {e: o if o >= 100 else 1e-6 for e, o in ODDS.items()}  # a class that only a break explains never counts for less than at first
+    highest = {e: 1.0 if e in LINES else 1e9 for e in ODDS}
     odds = dict(ODDS)
-    for _ in range(ROUNDS):
+    broken: dict[tuple, float] = {}
+    for step in range(ROUNDS):
         cut_n = {e: PSEUDO * o / (1 + o) for e, o in ODDS.items()}
         whole_n = {e: PSEUDO / (1 + o) for e, o in ODDS.items()}
-        broken: dict[tuple, float] = {}
-        for g, at, e, n in undecided:
-            r = rate[g, at]
+        now: dict[tuple, float] = {}
+        for g, at, e, n, t in undecided:
+            r = _prior(at, broken.get((g, at), 0.0), size[g, at], t) if step else (min(max(t, 1e-6), 1 - 1e-6) if at else 0.05)
             p = r * odds[e] / (r * odds[e] + 1 - r)
             cut_n[e] += n * p
             whole_n[e] += n * (1 - p)
-            broken[g, at] = broken.get((g, at), 0.0) + n * p
+            now[g, at] = now.get((g, at), 0.0) + n * p
+        broken = now
         all_cut, all_whole = sum(broken.values()) + 1, float(counts.n.sum()) - sum(broken.values()) + 1
-        # a class that only a break explains never counts for less than at first
-        odds = {e: min(max((cut_n[e] / all_cut) / max(whole_n[e] / all_whole, 1e-12), ODDS[e] if ODDS[e] >= 100 else 1e-6), 1e9) for e in odds}
-        rate = {k: min(max((broken.get(k, 0.0) + 0.02) / (size[k] + 1.0), 1e-6), 1 - 1e-6) for k in rate}
-    groups["rate"] = [rate[g, at] for g, at in zip(groups._group, groups.at_limit)]
-    return {e: math.log(o) for e, o in odds.items()}, groups[["_group", "at_limit", "rate"]]
+        # the lines' few cases lean on the odds they start with; other classes on counts of both kinds
+        fitted = {e: (cut_n[e] - PSEUDO * ODDS[e] / (1 + ODDS[e]) + PSEUDO * ODDS[e]) / (all_cut * (whole_n[e] - PSEUDO / (1 + ODDS[e])) / all_whole + PSEUDO) if e in LINES else (cut_n[e] / all_cut) / max(whole_n[e] / all_whole, 1e-12) for e in odds}
+        odds = {e: min(max(o, lowest[e]), highest[e]) for e, o in fitted.items()}
+    groups["broken"] = [broken.get((g, at), 0.0) for g, at in zip(groups._group, groups.at_limit)]
+    return {e: math.log(o) for e, o in odds.items()}, groups[["_group", "at_limit", "n", "broken"]]
 
 
 def truncated(documents: DataFrame, text: str = "text") -> DataFrame:
     """id, source, ending, at_limit, posterior (of having broken off, 6 digits) and truncated (posterior above a half) of every document.
 
-    ``documents``: id, source and the column ``text``. Null, empty and blank texts have ending null, posterior 0. A null source counts as one source. Texts that end as they
-    were written (``ENDS``) are whole. Repeated rows count as texts of their own. Rates are estimated per source; past the ``OWN_RATES`` most frequent
+    ``documents``: id, source and the column ``text``. Null, empty and blank texts have ending null, posterior 0. A null source counts as one source. Texts that end with
+    what closes them (``ENDS``) are whole. Repeated rows count as texts of their own. Rates are estimated per source; past the ``OWN_RATES`` most frequent
     sources, the others share one. An empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -173,13 +192,19 @@ def truncated(documents: DataFrame, text: str = "text") -> DataFrame:
     sources = cut(sizes.withColumn("_group", F.when(rank <= OWN_RATES, F.col("_source")).otherwise(F.lit("\0\0"))).join(limits, "_source", "left"), "limits")
     # cutting bytes may drop or replace the part of a character at the end
     hit = "(x.unit = 'chars' and x.length = chars) or (x.unit = 'bytes' and bytes between x.length - 3 and x.length + 2)"
-    placed = join_key_values(told, sources, ["_source"], "_n").withColumn("tau", F.expr(f"array_max(transform(filter(limits, x -> {hit}), x -> x.tau))"))
+    # beside the limit itself only such a character makes a cut; it is met about as often as bytes of the text are not the first of theirs
+    inside = "(bytes - chars) / bytes"
+    own = f"if(x.length = if(x.unit = 'chars', chars, bytes), x.tau, x.tau * {inside} / (x.tau * {inside} + 1 - x.tau))"
+    placed = join_key_values(told, sources, ["_source"], "_n").withColumn("tau", F.expr(f"array_max(transform(filter(limits, x -> {hit}), x -> {own}))"))
     placed = cut(placed.select("id", "source", "_group", "ending", F.col("tau").isNotNull().alias("at_limit"), "tau"), "placed-endings")
     counts = placed.groupBy("_group", "at_limit", "ending").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tau"), F.lit(0.0)).alias("tau"))
     log_odds, rates = _rates(counts.toPandas())  # at most OWN_RATES + 1 groups, 2, and the classes
     lookup = F.create_map(*[F.lit(x) for pair in log_odds.items() for x in pair])
-    known = spark.createDataFrame(rates, "_group string, at_limit boolean, rate double")
+    known = spark.createDataFrame(rates, "_group string, at_limit boolean, n bigint, broken double")
     scored = placed.join(F.broadcast(known), ["_group", "at_limit"])
+    at_limit = (F.col("broken") + CENSORED * F.col("tau")) / (F.col("n") + CENSORED)  # as in _prior
+    share = F.when(F.col("at_limit"), at_limit).otherwise((F.col("broken") + 0.02) / (F.col("n") + 1.0))
+    scored = scored.withColumn("rate", F.least(F.greatest(share, F.lit(1e-6)), F.lit(1 - 1e-6)))
     logit = F.log(F.col("rate") / (1 - F.col("rate"))) + F.element_at(lookup, F.col("ending"))
     posterior = F.when(F.col("ending").isin(*ENDS), F.lit(0.0)).otherwise(F.round(1 / (1 + F.exp(-logit)), 6))
     found = scored.select("id", "source", "ending", "at_limit", posterior.alias("posterior"))

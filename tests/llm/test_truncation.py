@@ -68,3 +68,45 @@ def test_degenerate_tables(spark):
     assert all(r.posterior == 0 for r in got if r.id != 3)
     blank = truncation.truncated(spark.createDataFrame(rows[:2], SCHEMA))
     assert blank.where("truncated").count() == 0
+
+
+def limited(seed=5, n=1500, limit=200):
+    """Texts of which those longer than the limit are all cut to it, in bytes; a tenth of all end in a label line, whose cut texts are told."""
+    rng = random.Random(seed)
+    words = "the lemma holds for every short chain because its module unfolds twice and nothing refers to it".split()
+    rows, inside = [], set()
+    for i in range(n):
+        text = ""
+        while len(text) < max(20, rng.lognormvariate(5, 0.5)):
+            text += " ".join(rng.choice(words) for _ in range(rng.randrange(4, 12))).capitalize() + ". "
+        body = text.strip()
+        text = body + "\n\nSee also: " + "unfolding chains of short modules" if i % 10 == 0 else body
+        if len(body) + 14 < limit < len(text):
+            inside.add(i)
+        rows.append((i, "limited", text[:limit]))
+    return rows, inside
+
+
+def test_a_line_cut_at_a_limit_is_found(spark):
+    rows, inside = limited()
+    scored = truncation.truncated(spark.createDataFrame(rows, SCHEMA)).where("ending = 'label_line'").collect()
+    assert len(inside) >= 5 and inside <= {r.id for r in scored if r.truncated}
+    whole = {i for i, _, t in rows if len(t) < 195}
+    assert not {r.id for r in scored if r.truncated} & whole and len({r.id for r in scored} & whole) > 50
+
+
+def test_own_length_bears_on_the_posterior(spark):
+    rows, _ = limited()
+    rows += [(9003, "limited", "y" * 197 + "…"), (9004, "limited", "y" * 196 + "…")]  # 200 and 199 bytes
+    scored = {r.id: r for r in truncation.truncated(spark.createDataFrame(rows, SCHEMA)).where("id > 9002").collect()}
+    assert all(r.at_limit and r.ending == "dots" for r in scored.values()) and scored[9003].posterior > scored[9004].posterior
+
+
+def test_fit_is_not_forgotten():
+    import pandas as pd
+
+    def broken(tau):
+        rows = [("s", True, e, 10, 10 * tau) for e in ("open", "dots", "stop")]
+        return truncation._rates(pd.DataFrame(rows, columns=["_group", "at_limit", "ending", "n", "tau"]))[1].broken.sum()
+
+    assert broken(0.99) > broken(0.05) + 0.01
