@@ -23,6 +23,7 @@ from proofloom.session import cut
 SPIKE_SHARE = 0.004
 SPIKE_RATIO = 8.0
 NEIGHBOURS = 24
+PEAKS = 3  # times the usual peak nearby, see field_limits
 ROUNDS = 60
 
 # What the endings look like. Odds of a class among broken-off against whole texts, before any data are seen.
@@ -121,9 +122,10 @@ def _log_normal(fits: pd.DataFrame) -> pd.DataFrame:
 
 
 def field_limits(rows: DataFrame, share: float = SPIKE_SHARE, ratio: float = SPIKE_RATIO) -> DataFrame:
-    """(_source, unit, length, tau): lengths with at least ``share`` of their source's texts (and five) and ``ratio`` times as many as lengths nearby.
+    """(_source, unit, length, tau): lengths with at least ``share`` of their source's texts of that length or more (and five) and ``ratio`` times as many as lengths nearby.
 
-    A source has at most 1/share limits a unit. Works on the histogram of lengths, whose size doesn't depend on the number of texts.
+    Where ``share`` of all the source's texts isn't reached, a spike must also stand out from chance, as few texts scatter: have ``PEAKS`` times as many as the
+    fourth most frequent length nearby (it and two other limits may go before). The limits of a source's unit are at most ln(texts)/share, as each leaves at most 1 - share of the texts for the longer ones. Works on the histogram of lengths, whose size doesn't depend on the number of texts.
     """
     both = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     histogram = cut(rows.select("_source", both.alias("u")).select("_source", "u.*").groupBy("_source", "unit", "length").count(), "lengths")
@@ -131,8 +133,9 @@ def field_limits(rows: DataFrame, share: float = SPIKE_SHARE, ratio: float = SPI
     whole = Window.partitionBy("_source", "unit")
     after = whole.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     usual = (F.sum("count").over(near) - F.col("count")) / F.lit(2.0 * NEIGHBOURS)
-    marked = histogram.select("*", usual.alias("usual"), F.sum("count").over(whole).alias("all"), F.coalesce(F.sum("count").over(after), F.lit(0)).alias("above"))
-    spike = (F.col("count") >= F.greatest(F.lit(5.0), share * F.col("all"))) & (F.col("count") >= ratio * (F.col("usual") + 0.1)) & (F.col("length") > 1)
+    marked = histogram.select("*", usual.alias("usual"), F.sum("count").over(whole).alias("all"), F.coalesce(F.sum("count").over(after), F.lit(0)).alias("above"), F.coalesce(F.get(F.sort_array(F.collect_list("count").over(near), asc=False), F.lit(3)), F.lit(0)).alias("peak"))
+    enough = (F.col("count") >= share * F.col("all")) | (F.col("count") >= share * (F.col("count") + F.col("above"))) & (F.col("count") >= PEAKS * F.col("peak"))
+    spike = (F.col("count") >= 5) & enough & (F.col("count") >= ratio * (F.col("usual") + 0.1)) & (F.col("length") > 1)
     marked = marked.withColumn("spike", spike)
     log = F.log(F.greatest(F.col("length"), F.lit(1)).cast("double"))
     plain = marked.where("not spike").groupBy("_source", "unit").agg(F.sum("count").alias("n"), F.sum(log * F.col("count")).alias("s1"), F.sum(log * log * F.col("count")).alias("s2"))

@@ -110,3 +110,12 @@ def test_fit_is_not_forgotten():
         return truncation._rates(pd.DataFrame(rows, columns=["_group", "at_limit", "ending", "n", "tau"]))[1].broken.sum()
 
     assert broken(0.99) > broken(0.05) + 0.01
+
+
+def test_a_limit_that_few_texts_reach_is_found(spark):
+    rows = [(i, "big", "w" * (20 + i % 60) + " ends.") for i in range(30_000)]
+    rows += [(50_000 + i, "big", "long " * 60 + "x" * (i % 97) + " ends.") for i in range(40)]
+    rows += [(60_000 + i, "big", "y" * 999 + "…") for i in range(100)]  # a third of one percent of all, most of those that long
+    scored = truncation.truncated(spark.createDataFrame(rows, SCHEMA))
+    assert {r.id for r in scored.where("truncated").collect()} == set(range(60_000, 60_100))
+    assert {r.id for r in scored.where("at_limit").collect()} == set(range(60_000, 60_100))
