@@ -9,6 +9,7 @@ from proofloom.functions import dag
 from proofloom.functions.text import node_label
 from proofloom.operators import proof, structure, validate
 from proofloom.operators.filters import AnalysisFilter
+from proofloom.plans import core_p
 from proofloom.plans.corpus import Corpus
 from proofloom.plans.q_metrics import BASE
 from proofloom.session import cut
@@ -29,22 +30,37 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(spark, d).outlines.select("outline_id", "conclusion_step", steps.alias("steps"))
 
 
+def _graphs(spark: SparkSession, d: str) -> DataFrame:
+    """outline_id, declaration, step_id, context_id (null for the step's proposition), root and nodes of the propositions and the context entries' types, over
+    proof_outlines and the whole payloads of raw_outlines. Steps and entries count once by their ids; an unknown declaration of a payload is told by its outline."""
+    graphs = [f"raw_steps.{at}.{f}" for at in ("proposition_graph", "context.type_graph") for f in ("root", "nodes")]
+    rows = core_p.outlines(spark, d, ["raw_steps.id", "raw_steps.context.id", *graphs]).drop("received_at")
+    names = latest(table(spark, d, "declarations"), ["decl_id"], keep=["name"])
+    raw = table(spark, d, "raw_outlines").groupBy("outline_id").agg(F.max("decl_id").alias("decl_id")).join(names, "decl_id", "left")
+    owners = Corpus(spark, d).outlines.select("outline_id", "declaration").unionByName(raw.select("outline_id", F.coalesce("name", F.concat(F.lit("outline:"), "outline_id")).alias("declaration")))
+    steps = rows.join(owners, "outline_id").select("outline_id", "declaration", F.explode(F.expr(ONCE)).alias("s"))
+    entries = "filter(s.context, (x, i) -> x is not null and (x.id is null or array_position(transform(s.context, c -> c.id), x.id) = i + 1))"
+    own = "array(named_struct('context_id', cast(null as string), 'graph', s.proposition_graph))"
+    both = F.expr(f"concat({own}, coalesce(transform({entries}, x -> named_struct('context_id', x.id, 'graph', x.type_graph)), array()))")
+    parts = steps.select("outline_id", "declaration", F.col("s.id").alias("step_id"), F.posexplode(both).alias("place", "g"))  # place 0 is the proposition
+    return parts.select("outline_id", "declaration", "step_id", "place", "g.context_id", "g.graph.root", "g.graph.nodes")
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    graphs = _steps(spark, d, "proposition_graph").select("outline_id", "declaration", "step_id", "proposition_graph.root", "proposition_graph.nodes")
-    return cut(dag.node_rows(graphs, ["outline_id", "declaration", "step_id"]), "expression-nodes")
+    return cut(dag.node_rows(_graphs(spark, d), ["outline_id", "declaration", "step_id", "place", "context_id"]), "expression-nodes")
 
 
 def expression_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes, occurrences, depth and distinct constants of every step's proposition."""
+    """Nodes, occurrences, depth and distinct constants of every step's proposition (context_id null) and of the types of its context entries."""
     n = _nodes(spark, d)
-    return n.groupBy("outline_id", "step_id").agg(
+    return n.groupBy("outline_id", "step_id", "place", "context_id").agg(
         F.count(F.lit(1)).alias("unique_nodes"), F.sum("multiplicity").alias("occurrences"), F.max(F.when(F.col("is_root"), F.col("depth"))).alias("depth"),
         F.countDistinct(F.when(F.col("kind") == "constant", F.col("name"))).alias("constants"),
-    )
+    ).drop("place")
 
 
 def kind_proportions(spark: SparkSession, d: str) -> DataFrame:
-    """Unique nodes and occurrences of each node kind in the whole corpus."""
+    """Unique nodes and occurrences of each node kind in all outlines' propositions and context types; the tables hold no graphs of declarations."""
     return _nodes(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("unique_nodes"), F.sum("multiplicity").alias("occurrences"))
 
 
@@ -66,7 +82,7 @@ def repeated_for_declaration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_labels(spark: SparkSession, d: str) -> DataFrame:
-    """How often each node label stands in the propositions."""
+    """How often each node label stands in the propositions of proof_outlines, as its SQL has it: neither context types nor raw_outlines count."""
     nodes = _steps(spark, d, "proposition_graph").select(F.explode("proposition_graph.nodes").alias("n")).where("n is not null")
     return nodes.groupBy(node_label(F.col("n")).alias("label")).agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -115,7 +131,7 @@ def equivalence_groups(spark: SparkSession, d: str) -> DataFrame:
 def equivalence_graphs(spark: SparkSession, d: str) -> DataFrame:
     """Groups of conclusions that are equal up to the names of binders."""
     steps = _steps(spark, d, "kind", "proposition").where("step_id = conclusion_step").select("outline_id", "step_id", F.col("kind").alias("step_kind"), "proposition")
-    roots = _nodes(spark, d).where("is_root").select("outline_id", "step_id", "declaration", "alpha").join(steps, ["outline_id", "step_id"])
+    roots = _nodes(spark, d).where("is_root and place = 0").select("outline_id", "step_id", "declaration", "alpha").join(steps, ["outline_id", "step_id"])
     best = F.min(F.struct(F.octet_length("proposition").alias("n"), F.col("declaration")))
     groups = roots.groupBy("step_kind", "alpha").agg(F.countDistinct("declaration").alias("members"), best.alias("b"))
     return groups.where("members > 1").select(F.col("alpha").alias("group_id"), "members", F.col("b.declaration").alias("representative"))
@@ -187,7 +203,7 @@ def validation_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validation_graphs(spark: SparkSession, d: str) -> DataFrame:
-    graphs = _steps(spark, d, "proposition_graph").select(F.concat_ws("/", "outline_id", "step_id").alias("graph"), "proposition_graph.root", "proposition_graph.nodes")
+    graphs = _graphs(spark, d).select(F.concat_ws("/", "outline_id", "step_id", "context_id").alias("graph"), "root", "nodes")
     return validate.graph_shape(graphs, "graph")
 
 
