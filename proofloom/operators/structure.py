@@ -53,6 +53,28 @@ def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return rows.select(*rows.columns[:7], r6(F.col("j"), "dependency_jaccard"), r6(F.col("s"), "size_ratio"), r6(F.col("o"), "occurrence_ratio"), r6((F.col("j") + F.col("s") + F.col("o")) / 3, "combined_score"))
 
 
+def compare_graphs(pairs: DataFrame, nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """The full comparison of declarations that have expression graphs, as those of a snapshot.
+
+    ``pairs``: left_name, right_name, layer. ``nodes``: rows of ``functions.dag.node_rows`` with keys declaration, layer. ``deps``: name, layer, deps (distinct names). Exact equality, equality up to binder
+    names, Jaccard of the dependencies, cosine of the unique nodes' kinds, ratios of unique nodes and of depth, and the mean of these four. Pairs of which a side has no graph are left out.
+    """
+    kinds = nodes.groupBy(F.col("declaration").alias("name"), "layer", "kind").agg(F.count(F.lit(1)).alias("n"))  # a handful of kinds a graph
+    roots = nodes.where("is_root").select(F.col("declaration").alias("name"), "layer", "exact", "alpha", "depth")
+    sides = kinds.groupBy("name", "layer").agg(F.sum("n").alias("nodes"), F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds")).join(roots, ["name", "layer"]).join(deps.select("name", "layer", "deps"), ["name", "layer"], "left")
+    side = lambda at: sides.select(F.col("name").alias(f"{at}_name"), "layer", *[F.col(c).alias(f"{at[0]}_{c}") for c in ("exact", "alpha", "depth", "nodes", "kinds")], F.coalesce("deps", F.array().cast("array<string>")).alias(f"{at[0]}_deps"))
+    both = pairs.select("left_name", "right_name", "layer").join(side("left"), ["left_name", "layer"]).join(side("right"), ["right_name", "layer"])
+    shared, union = F.size(F.array_intersect("l_deps", "r_deps")), F.size(F.array_union("l_deps", "r_deps"))
+    product = lambda x, y: F.expr(f"aggregate(map_keys({x}), 0D, (s, k) -> s + {x}[k] * coalesce({y}[k], 0))")
+    ratio = lambda c: F.least(f"l_{c}", f"r_{c}") / F.greatest(f"l_{c}", f"r_{c}")
+    parts = both.select(
+        "left_name", "right_name", "layer", (F.col("l_exact") == F.col("r_exact")).alias("exact_equal"), (F.col("l_alpha") == F.col("r_alpha")).alias("alpha_equivalent"),
+        F.when(union > 0, shared / union).otherwise(F.lit(1.0)).alias("j"), (product("l_kinds", "r_kinds") / F.sqrt(product("l_kinds", "l_kinds") * product("r_kinds", "r_kinds"))).alias("c"), ratio("nodes").alias("s"), ratio("depth").alias("d"),
+    )
+    named = [F.round(c, 6).alias(n) for c, n in (("j", "dependency_jaccard"), ("c", "kind_histogram_cosine"), ("s", "size_ratio"), ("d", "depth_ratio"))]
+    return parts.select(*parts.columns[:5], *named, F.round((F.col("j") + F.col("c") + F.col("s") + F.col("d")) / 4, 6).alias("combined_score"))
+
+
 def neighbours(features: DataFrame, queries: DataFrame, top: int = 3, blocks: int = 64) -> DataFrame:
     """The ``top`` most similar rows of ``features`` (name, deps, unique_nodes) for every query name, by the mean of Jaccard and size ratio, ties by name.
 

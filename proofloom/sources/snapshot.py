@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 6
 _NODE = "struct<id:bigint,kind:string,children:array<bigint>,name:string,index:bigint,value:string,binderInfo:string,universeLevels:array<string>>"
+_NODES = "array<struct<id:bigint,kind:string,children:array<bigint>,name:string,var_index:bigint,value_text:string,binder_info:string,universe_levels:array<string>>>"  # the same fields as ``functions.dag`` names them
 _GRAPH = f"struct<root:bigint,nodes:array<{_NODE}>>"
 _STATS = "struct<" + ",".join(f"{n}:bigint" for n in "nodes maxDepth boundVariables freeVariables metavariables sorts constants applications lambdas foralls lets literals metadata projections".split()) + ">"
 _POSITION = "struct<line:bigint,column:bigint>"
@@ -55,6 +56,18 @@ def graphs(snapshots: DataFrame) -> DataFrame:
     return d.where("x.g is not null").select("decl_id", "x.layer", "x.g.root", "x.g.nodes")
 
 
+def compare(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``operators.structure.compare_graphs`` of the declarations of ``pairs`` (left_name, right_name, layer)."""
+    from proofloom.functions import dag
+    from proofloom.operators import structure
+
+    names = declarations(snapshots).select("decl_id", "name", "statementDependencies", "proofDependencies")
+    named = graphs(snapshots).join(names.select("decl_id", "name"), "decl_id").select(F.col("name").alias("declaration"), "layer", "root", F.col("nodes").cast(_NODES).alias("nodes"))
+    both = F.explode(F.array(F.struct(F.lit("statement").alias("layer"), F.col("statementDependencies").alias("d")), F.struct(F.lit("proof").alias("layer"), F.col("proofDependencies").alias("d"))))
+    deps = names.select("name", both.alias("x")).select("name", "x.layer", F.array_distinct(F.filter(F.coalesce("x.d", F.array()), lambda v: v.isNotNull())).alias("deps"))
+    return structure.compare_graphs(pairs, dag.node_rows(named, ["declaration", "layer"]), deps)
+
+
 def merge_symbols(parts: list[DataFrame]) -> DataFrame:
     """The union of ``parts`` with the first part's row for a name that several have; ``snapshot`` tells which part. Null names are dropped."""
     marked = reduce(lambda a, b: a.unionByName(b), [p.where("name is not null").withColumn("snapshot", F.lit(i)) for i, p in enumerate(parts)])

@@ -49,3 +49,19 @@ def test_sizes_and_violations_name_the_entry(spark, directory):
     sizes = {(r.outline_id, r.step_id, r.context_id, r.unique_nodes, r.occurrences, r.depth) for r in q_structure.expression_sizes(spark, directory).collect()}
     assert sizes == {(1, 1, None, 5, 5, 2), (1, 1, "h", 5, 5, 2), (1, 1, "g", 5, 4, 2), (2, 1, None, 5, 5, 2), (2, 1, "k", 5, 5, 2), (3, 1, None, 5, 5, 2), (3, 1, "k", 5, 5, 2)}
     assert [(r.rule, r.subject) for r in q_structure.validation_graphs(spark, directory).collect()] == [("child does not precede its node", "1/1/g")]
+
+
+def test_snapshot_comparison_has_all_parts(spark, tmp_path):
+    from proofloom.sources import snapshot
+
+    def graph(binder, more=False):
+        nodes = [{"id": 0, "kind": "constant", "children": [], "name": "T"}, {"id": 1, "kind": "application", "children": [0, 0]}, {"id": 2, "kind": "lambda", "children": [1], "name": binder, "universeLevels": []}]
+        return {"root": 3 if more else 2, "nodes": nodes + [{"id": 3, "kind": "application", "children": [2, 0]}] * more}
+
+    made = [("a", graph("x"), ["p", "q"]), ("b", graph("y"), ["q", "p"]), ("c", graph("x", True), ["q"]), ("d", None, ["q"])]
+    document = {"schemaVersion": 6, "importedModules": ["M"], "symbols": [], "declarations": [{"name": n, "kind": "theorem", "typeGraph": g, "statementDependencies": deps} for n, g, deps in made]}
+    (tmp_path / "s.json").write_text(json.dumps(document))
+    pairs = spark.createDataFrame([("a", x, "statement") for x in "abcd"], "left_name string, right_name string, layer string")
+    got = {r.right_name: tuple(r)[3:] for r in snapshot.compare(snapshot.load_snapshots(spark, [str(tmp_path / "s.json")]), pairs).collect()}
+    cosine = 4 / (3 * 6) ** 0.5
+    assert got == {"a": (True, True, 1, 1, 1, 1, 1), "b": (False, True, 1, 1, 1, 1, 1), "c": (False, False, 0.5, round(cosine, 6), 0.75, 0.75, round((0.5 + cosine + 1.5) / 4, 6))}
