@@ -63,3 +63,25 @@ def test_latest_keeps_one_row_per_key(spark):
     df = spark.createDataFrame([(1, "a", 5), (1, "b", 7), (1, "b", 7), (2, None, None), (None, "x", 1), (None, "y", 2)], "id bigint, v string, received_at bigint")
     assert sorted(((r.id, r.v) for r in latest(df, ["id"]).collect()), key=str) == sorted([(1, "b"), (2, None), (None, "y")], key=str)
     assert latest(df.limit(0), ["id"]).count() == 0
+
+
+def test_numbers_over_all_rows_and_running_sums(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 50, i % 3) for i in range(200)], "id bigint, v bigint, w bigint")
+    got = sorted(number_within_keys(df, [], ["v", "id"], partitions=5).collect(), key=lambda r: r._number)
+    assert [r._number for r in got] == list(range(1, 201)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
+    sums = sorted(number_within_keys(df, [], ["v", "id"], "before", amount="w").collect(), key=lambda r: (r.v, r.id))
+    total = 0
+    for r in sums:
+        assert r.before == total
+        total += r.w
+
+
+def test_only_hashes_of_hot_keys_are_broadcast(spark):
+    big = spark.createDataFrame([("hot",)] * 50 + [(f"k{i}",) for i in range(50)], "k string")
+    values = spark.createDataFrame([("hot", 50, "x" * 1000), *[(f"k{i}", 1, "y") for i in range(50)]], "k string, n bigint, x string")
+    joined = join_key_values(big, values, ["k"], "n", 10)
+    assert joined.where("x is null").count() == 0 and joined.count() == 100
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and "strategy=merge" in plan
+    physical = joined._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("SortMergeJoin") == 1
