@@ -34,9 +34,9 @@ def noisy(rng, n, sizes, hot):
     return data
 
 
-@pytest.mark.parametrize("small,threshold,num,den", [(13, "0.7", 7, 10), (6, "0.7", 7, 10), (9, "0.5", 1, 2), (13, "1", 1, 1)])
+@pytest.mark.parametrize("small,threshold,num,den", [(13, "0.7", 7, 10), (6, "0.7", 7, 10), (9, "0.5", 1, 2), (13, "1", 1, 1), (None, "0.7", 7, 10)])
 def test_no_pair_is_lost(spark, small, threshold, num, den):
-    rng = random.Random(small)
+    rng = random.Random(small or 3)
     data = noisy(rng, 160, [1, 2, 4, 6, 9, 14, 22], [f"hot{i}" for i in range(5)])
     df = spark.createDataFrame([(*d, "more") for d in data], SCHEMA + ", size string")
     members, pairs = overlap.similar_sets(df, threshold, 4, small)
@@ -64,6 +64,40 @@ def test_long_lists_in_blocks(spark):
     assert {(r.set_field, r.left_id, r.right_id) for r in overlap.expand(members, pairs).collect()} == brute(data, 1, 7, 10)
 
 
+def test_hot_groups_in_blocks(spark):
+    rng = random.Random(4)
+    base = [f"a{i}" for i in range(6)]
+    data = [("x", i, base) for i in range(30)] + [("x", 30 + i, [*base, "z"]) for i in range(25)] + [("x", 60 + i, [*base[:5], f"o{i % 9}"]) for i in range(20)] + [("x", 90, [*base, "z", "y"])]
+    rng.shuffle(data)
+    members, found = overlap.classes(spark.createDataFrame(data + data[:10], SCHEMA), 4)
+    pairs = overlap.similar_classes(found, "0.7", 8, block=2)
+    got = [(r.set_field, r.left_id, r.right_id) for r in overlap.expand(members, pairs, block=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(data, 4, 7, 10)
+
+
+def test_small_ends_where_it_costs_least(spark):
+    from fractions import Fraction
+
+    data = [("x", i, [f"r{i // 2}_{k}" for k in range(9)] + [f"u{i}"]) for i in range(200)]
+    found = overlap.classes(spark.createDataFrame(data, SCHEMA), 4)[1]
+    vectors = overlap._vectors(found)
+    assert overlap.boundary(vectors, overlap._prefixes(vectors, Fraction("0.7")), Fraction("0.7")) == 8  # rare tokens: scanning lists is cheap
+    rng = random.Random(5)
+    data = [("x", i, rng.sample([f"c{k}" for k in range(20)], 9)) for i in range(900)]
+    found = overlap.classes(spark.createDataFrame(data, SCHEMA), 4)[1]
+    vectors = overlap._vectors(found)
+    assert overlap.boundary(vectors, overlap._prefixes(vectors, Fraction("0.7")), Fraction("0.7")) > 8  # common tokens: lists are long
+
+
+def test_no_broadcast_of_sets(spark):
+    data = noisy(random.Random(2), 60, [4, 6, 9, 14], ["h0", "h1"])
+    members, pairs = overlap.similar_sets(spark.createDataFrame(data, SCHEMA), "0.7", 4)
+    plan = overlap.expand(members, pairs)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line:
+            assert "__hash" in line
+
+
 def test_no_sets(spark):
     members, pairs = overlap.similar_sets(spark.createDataFrame([], SCHEMA))
     assert members.count() == 0 and pairs.count() == 0
