@@ -37,16 +37,20 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return p1_terms(spark, directory).where("mark is not null").select("term_field", "term", "mark")
 
 
-def p4_scores(spark: SparkSession, directory: str) -> DataFrame:
-    """PPMI of every term of a declaration, with the counts it rests on."""
+def _scored(spark: SparkSession, directory: str) -> DataFrame:
     nodes = _nodes(spark, directory, ["named_references", "hypothesis_references"])
     rows = _mentions(nodes, "named_references", "named_reference").unionByName(_mentions(nodes, "hypothesis_references", "hypothesis_reference"))
-    return distinct_terms.ppmi(rows).withColumnRenamed("record", "decl_id")
+    return distinct_terms.ppmi(rows)
+
+
+def p4_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """PPMI of every term of a declaration, with the counts it rests on."""
+    return _scored(spark, directory).drop("score", "terms").withColumnRenamed("record", "decl_id")
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Scored terms that lead their declaration without a tie and occur in 2 to 5 declarations."""
-    return distinct_terms.leading_terms(p4_scores(spark, directory).withColumnRenamed("decl_id", "record"), 2, 5).select("term_field", F.col("record").alias("decl_id"), "term")
+    """Terms whose score can be that of a leader in 2 to 5 declarations, and that are one: no other term of the declaration is used as often."""
+    return distinct_terms.leading_terms(_scored(spark, directory), 2, 5).select("term_field", F.col("record").alias("decl_id"), "term")
 
 
 NODES = """nodes as (select outline_id, raw_step_id, max(decl_id) decl_id, arg_max(named_references, received_at) named_references,
