@@ -48,3 +48,19 @@ def test_empty_tables_and_nulls(spark):
     assert mix_sources(spark.createDataFrame([(1, "a", 5)], DOCS), weights.limit(0)).plan.count() == 0
     one = mix_sources(spark.createDataFrame([(1, "a", 5), (1, "a", 5)], DOCS), spark.createDataFrame([("a", 1.0, None)], WEIGHTS))
     assert [r.copies for r in one.emitted.collect()] == [1, 1]
+
+
+def test_short_sources_are_told_by_what_was_emitted(spark):
+    from dataclasses import replace
+
+    rng = random.Random(1)
+    docs = [(i, rng.choice(["big"] * 9 + ["small"]), rng.randrange(1, 90)) for i in range(900)] + [(2000 + i, "blank", 0) for i in range(5)] + [(3000, "exact", 100)]
+    whole = sum(n for _, _, n in docs)
+    weights = [("big", 0.5, 2), ("small", 0.4, 2), ("blank", 0.05, 3), ("ghost", 0.02, 1), ("none", 0.0, 1), ("barred", 0.01, 0), ("exact", 200 / whole, 2)]
+    made = mix_sources(spark.createDataFrame(docs, DOCS), spark.createDataFrame(weights, WEIGHTS))
+    rows = made.shares().collect()
+    assert {r.source for r in rows if r.short} == {"small", "blank", "ghost", "barred"}
+    assert all(r.short == (r.target_weight > 0 and not r.reachable) for r in rows)
+    # were nothing emitted, nothing with documents would be told
+    none = {r.source for r in replace(made, emitted=made.emitted.limit(0)).shares().collect() if r.short}
+    assert none == {"ghost", "barred"}
