@@ -1,7 +1,7 @@
 """Programs over one expression graph, run per record inside Arrow batches.
 
 A graph is a root id and a list of nodes (id, kind, children, name, var_index, value_text, binder_info, universe_levels) in any order. The first of several nodes with an id
-counts; children that name no node, and children that would close a cycle, are left out. Sizes are those of the expanded tree, capped at 2**62.
+counts; children that name no node, and children that would close a cycle, are left out. Sizes are those of the expanded tree; from 2**62 on they stay there and ``capped`` says so.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CAP = 1 << 62
 BINDERS = ("lambda", "forall", "let")
-NODE_COLUMNS = "node_id bigint, kind string, name string, is_root boolean, multiplicity bigint, size bigint, depth bigint, exact string, alpha string"
+NODE_COLUMNS = "node_id bigint, kind string, name string, binder_info string, is_root boolean, multiplicity bigint, size bigint, depth bigint, capped boolean, exact string, alpha string"
 
 
 def _order(nodes: dict[int, dict], start: int | None = None) -> tuple[list[int], dict[int, list[int]]]:
@@ -86,7 +87,7 @@ def analyse(root: int | None, listed: list[dict] | None) -> list[dict]:
                 for k in kept[i]:
                     times[k] = min(CAP, times[k] + times[i])
     return [
-        {"node_id": i, "kind": nodes[i]["kind"], "name": nodes[i]["name"], "is_root": i == root, "multiplicity": times[i], "size": size[i], "depth": depth[i], "exact": exact[i], "alpha": alpha[i]} for i in order
+        {"node_id": i, "kind": nodes[i]["kind"], "name": nodes[i]["name"], "binder_info": nodes[i]["binder_info"], "is_root": i == root, "multiplicity": times[i], "size": size[i], "depth": depth[i], "capped": CAP in (size[i], times[i]), "exact": exact[i], "alpha": alpha[i]} for i in order
     ]
 
 
@@ -96,7 +97,7 @@ def node_rows(graphs: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + NODE_COLUMNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"node_id": pa.int64(), "kind": pa.string(), "name": pa.string(), "is_root": pa.bool_(), "multiplicity": pa.int64(), "size": pa.int64(), "depth": pa.int64(), "exact": pa.string(), "alpha": pa.string()}
+        kinds = {"node_id": pa.int64(), "kind": pa.string(), "name": pa.string(), "binder_info": pa.string(), "is_root": pa.bool_(), "multiplicity": pa.int64(), "size": pa.int64(), "depth": pa.int64(), "capped": pa.bool_(), "exact": pa.string(), "alpha": pa.string()}
         for batch in batches:
             roots, lists = batch.column("root").to_pylist(), batch.column("nodes").to_pylist()
             index, out = [], []
@@ -111,6 +112,41 @@ def node_rows(graphs: DataFrame, keys: list[str]) -> DataFrame:
     return graphs.select(*keys, "root", "nodes").mapInArrow(run, schema)
 
 
+def intern(root: int, listed: list[dict]) -> tuple[int, list[dict]]:
+    """The same expression with every distinct subtree stored once: (root, nodes), ids 0, 1, ... in an order that has children before their parents. Nodes off the root's tree are left out."""
+    nodes = {n["id"]: n for n in reversed([x for x in listed if x is not None and x["id"] is not None])}
+    order, kept = _order(nodes, root)
+    known: dict[tuple, int] = {}
+    at: dict[int, int] = {}
+    out: list[dict] = []
+    for i in order:
+        children = [at[k] for k in kept[i] if k in at]
+        own = (tuple(children), *(tuple(v) if isinstance(v, list) else v for k, v in sorted(nodes[i].items()) if k not in ("id", "children")))
+        if own not in known:
+            known[own] = len(out)
+            out.append({**nodes[i], "id": len(out), "children": children})
+        at[i] = known[own]
+    return at[root], out
+
+
+def expression_stats(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per graph of ``node_rows`` the figures of its expanded tree: total_occurrences, max_depth and the occurrences of every kind; with unique_nodes, distinct_constants, constants (a map), kinds and binders (maps)."""
+    times = F.sum("multiplicity")
+    live = nodes.where("multiplicity > 0 or is_root")
+    whole = live.groupBy(*keys).agg(
+        times.alias("total_occurrences"), F.max(F.when(F.col("is_root"), F.col("depth"))).alias("max_depth"), F.max(F.when(F.col("is_root"), F.col("exact"))).alias("exact"), F.max(F.when(F.col("is_root"), F.col("alpha"))).alias("alpha")
+    )
+    unique = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_nodes"))
+    binder = F.when(F.col("kind") == "let", F.lit("let")).when(F.col("kind").isin("lambda", "forall"), F.coalesce("binder_info", F.lit("unknown")))
+    named = F.array(F.struct(F.lit("kinds").alias("of"), F.col("kind").alias("k")), F.struct(F.lit("binders"), binder), F.struct(F.lit("constants"), F.when(F.col("kind") == "constant", F.col("name"))))
+    cells = nodes.select(*keys, "multiplicity", F.explode(named).alias("x")).where("x.k is not null").groupBy(*keys, "x.of", "x.k").agg(times.alias("n"), F.count(F.lit(1)).alias("u"))
+    entry = F.struct("k", "n")
+    part = lambda of: F.map_from_entries(F.collect_list(F.when(F.col("of") == of, entry)))  # noqa: E731 - a graph's own kinds and names
+    maps = cells.groupBy(*keys).agg(part("kinds").alias("kinds"), part("binders").alias("binders"), part("constants").alias("constants"), F.map_from_entries(F.collect_list(F.when(F.col("of") == "kinds", F.struct("k", "u")))).alias("unique_kinds"))
+    rows = whole.join(unique, keys).join(maps, keys)
+    return rows.withColumn("distinct_constants", F.size("constants").cast("bigint")).withColumn("kind_proportions", F.transform_values("kinds", lambda _, n: F.try_divide(n, F.col("total_occurrences"))))
+
+
 def render(root: int, listed: list[dict], max_depth: int) -> str:
     """The expression as an indented tree down to ``max_depth`` levels, deeper parts as an ellipsis."""
     nodes = {n["id"]: n for n in reversed(listed)}

@@ -73,5 +73,21 @@ class AnalysisFilter:
 
     def edges(self, edges: DataFrame, declarations: DataFrame) -> DataFrame:
         """Edges whose source passes ``declaration`` and whose target passes ``target``."""
-        sources = self.declarations(declarations).select(F.col("decl_id").alias("source_id"))
-        return edges.where(self.layers() & self.target()).join(sources, "source_id", "left_semi")
+        return self.sources(edges.where(self.layers() & self.target()), declarations)
+
+    def sources(self, edges: DataFrame, declarations: DataFrame) -> DataFrame:
+        """Edges whose source_id passes ``declaration``."""
+        ids = self.declarations(declarations).select(F.col("decl_id").alias("source_id"))
+        return edges.join(ids.hint("merge"), "source_id", "left_semi")
+
+    def symbols(self, symbols: DataFrame) -> DataFrame:
+        """Symbols (with decl_id, null for those outside the corpus) that pass what the filter asks of a target."""
+        flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+        test = F.lit(True)
+        if self.internal_only:
+            test = test & F.col("decl_id").isNotNull()
+        if not self.include_generated:
+            test = test & ~F.col("hidden")
+        if not self.include_infrastructure:
+            test = test & ~(flag("is_class") | flag("is_instance") | flag("is_projection"))
+        return symbols.where(test)

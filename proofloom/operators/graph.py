@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofloom.operators.skew import number_within_keys
 from proofloom.session import cut
 
 DAMPING, ROUNDS = 0.85, 50
 
 
+def _folded(seen: DataFrame, level: DataFrame, depth: int) -> DataFrame:
+    """``seen`` with one more level; written as one table every eighth time, so that plans stay short however deep the search goes."""
+    both = seen.union(level)
+    return cut(both, "seen") if depth % 8 == 0 else both
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     """Distinct undirected neighbours without loops, each pair in both directions."""
     pairs = links.where("src <> dst").select("src", "dst")
@@ -40,10 +47,34 @@ def traverse(nodes: DataFrame, links: DataFrame, roots: DataFrame, max_depth: in
         if level.isEmpty():
             break
         depth += 1
-        seen, out = seen.union(level.select("root", "node")), out.union(level.withColumn("depth", F.lit(depth)))
+        out = out.union(level.withColumn("depth", F.lit(depth)))
+        seen = _folded(seen, level.select("root", "node"), depth)
     return out.select("root", "node", F.col("depth").cast("bigint").alias("depth"), "path", "path_weight")
 
 
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 32) -> DataFrame:
+    """At most one row (nodes, layers, occurrences): the shortest way from ``source`` to ``target`` along ``edges`` (source, target, layer, occurrences), which may end outside the corpus.
+
+    Among equally short ones the first whose names, then layers (statement before proof) come first; from a name to itself it is that name alone. The search ends with the level that reaches the target.
+    """
+    spark = edges.sparkSession
+    steps = cut(edges.groupBy(F.col("source").alias("node"), F.col("target").alias("next")).agg(F.min(F.struct((F.col("layer") != "statement").alias("late"), "layer", "occurrences")).alias("e")).select("node", "next", "e.layer", "e.occurrences"), "steps")
+    start = spark.createDataFrame([(source, [source], [], 0)], "node string, nodes array<string>, layers array<string>, occurrences bigint")
+    if source == target:
+        return start.drop("node")
+    level, seen = cut(start, "level"), start.select("node")
+    for _ in range(max_depth):
+        further = level.select("node", "nodes", "layers", F.col("occurrences").alias("sum")).join(steps.hint("merge"), "node")
+        reached = further.select(F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("layers", F.array("layer")).alias("layers"), (F.col("sum") + F.col("occurrences")).alias("occurrences"))
+        best = reached.groupBy("node").agg(F.min(F.struct("nodes", "layers", "occurrences")).alias("b")).select("node", "b.*")
+        level = cut(best.join(seen.hint("merge"), "node", "left_anti"), "level")
+        found = level.where(F.col("node") == target)
+        if level.isEmpty() or not found.isEmpty():
+            return found.drop("node")
+        seen = cut(seen.union(level.select("node")), "seen")
+    return level.limit(0).drop("node")
+
+
 def reachable(links: DataFrame, roots: DataFrame, max_depth: int = 32, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
     """((root, node, depth) without the roots themselves, (root) of those cut off by ``max_depth``)."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -55,7 +86,8 @@ def reachable(links: DataFrame, roots: DataFrame, max_depth: int = 32, reverse:
         level = cut(fresh(), "level")
         if level.isEmpty():
             break
-        seen, out = seen.union(level), out.union(level.withColumn("depth", F.lit(depth)))
+        out = out.union(level.withColumn("depth", F.lit(depth)))
+        seen = _folded(seen, level, depth)
     return out.select("root", "node", F.col("depth").cast("bigint").alias("depth")), fresh().select("root").distinct()
 
 
@@ -73,7 +105,7 @@ def pagerank(nodes: DataFrame, links: DataFrame, weighted: bool = False, damping
         return nodes.select("id", F.lit(0.0).alias("rank"))
     share = F.col("weight").cast("double") if weighted else F.lit(1.0)
     totals = links.groupBy("src").agg(F.sum(share).alias("_total"))
-    steps = cut(links.join(totals, "src").select("src", "dst", (share / F.col("_total")).alias("share")), "steps")
+    steps = cut(links.join(totals.hint("merge"), "src").select("src", "dst", (share / F.col("_total")).alias("share")), "steps")
     # a node without links out sends its rank to the row with id null, which everyone shares
     dangling = nodes.select("id").join(steps.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
     steps = cut(steps.union(dangling.select(F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(1.0).alias("share"))), "steps")
@@ -97,7 +129,7 @@ def betweenness(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.union(level.select("root", "node"))
+        seen = _folded(seen, level.select("root", "node"), len(levels))
     below, sums = None, []
     for k in range(len(levels) - 1, 0, -1):
         here = levels[k]
@@ -194,9 +226,9 @@ def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS)
 
 
 def communities(labels: DataFrame) -> DataFrame:
-    """(id, community): labels renumbered from 0 in order; the window is over the distinct labels."""
-    numbers = labels.select("label").distinct().withColumn("community", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint"))
-    return labels.join(numbers, "label").select("id", "community")
+    """(id, community): labels renumbered from 0 in order."""
+    numbers = number_within_keys(labels.select("label").distinct(), [], ["label"], "community").withColumn("community", F.col("community") - 1)
+    return labels.join(numbers.hint("merge"), "label").select("id", "community")
 
 
 def cut_structure(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +247,7 @@ def cut_structure(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.union(level.select("id"))
+        seen = _folded(seen, level.select("id"), len(levels))
     sizes: list[DataFrame] = [None] * len(levels)
     for k in range(len(levels) - 1, -1, -1):
         own = levels[k]
@@ -226,8 +258,7 @@ def cut_structure(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
             own = own.select("id", "parent", F.lit(1).cast("bigint").alias("size"))
         sizes[k] = cut(own, "sizes")
     # preorder: roots one after another by a running sum over the components, children after their parent in order of id
-    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = [cut(sizes[0].withColumn("pre", F.coalesce(F.sum("size").over(before), F.lit(0))), "pre")]
+    numbered = [cut(number_within_keys(sizes[0], [], ["id"], "pre", amount="size"), "pre")]
     siblings = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     for k in range(1, len(levels)):
         up = numbered[k - 1].select(F.col("id").alias("parent"), F.col("pre").alias("_up"))

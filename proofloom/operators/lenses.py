@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.operators import graph
+from proofloom.operators.skew import number_within_keys
 from proofloom.session import cut
 
 
@@ -19,9 +20,9 @@ def regions(nodes: DataFrame, links: DataFrame, visible: DataFrame, layer: str)
     """
     labels = cut(graph.label_propagation(nodes, links), "labels")
     first = labels.join(nodes.select("id", "name"), "id").groupBy("label").agg(F.min("name").alias("first"))
-    number = F.row_number().over(Window.orderBy("first"))  # one row per group
-    named = first.select("label", F.concat(F.lit(f"{layer}-region-"), F.lpad(number.cast("string"), 4, "0")).alias("region"))
-    return visible.select("id", "name").join(labels, "id").join(named, "label").select("id", "name", "region")
+    digits = F.greatest(F.length(F.col("_number").cast("string")), F.lit(4))
+    named = number_within_keys(first, [], ["first"]).select("label", F.concat(F.lit(f"{layer}-region-"), F.lpad(F.col("_number").cast("string"), digits, F.lit("0"))).alias("region"))
+    return visible.select("id", "name").join(labels.hint("merge"), "id").join(named.hint("merge"), "label").select("id", "name", "region")
 
 
 def influence(links: DataFrame, visible: DataFrame, region: DataFrame, max_depth: int) -> DataFrame:
@@ -48,3 +49,53 @@ def bridges(nodes: DataFrame, links: DataFrame, visible: DataFrame, region: Data
     between = graph.betweenness(nodes, links)
     rows = visible.join(counted, "id").join(points, "id", "left").join(between, "id")
     return rows.select("name", F.coalesce("articulation", F.lit(False)).alias("articulation"), "region_pairs", F.round("betweenness", 6).alias("betweenness"))
+
+
+def influence_members(links: DataFrame, visible: DataFrame, region: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """What ``influence`` counts, for the theorems ``roots`` (id): a row per visible theorem that rests on one, with its depth, region and whether it does so directly; a loop is direct at depth 0."""
+    names = visible.select("id", "name")
+    found, _ = graph.reachable(links, roots, max_depth, reverse=True)
+    own = links.where("src = dst").select(F.col("dst").alias("root"), F.col("src").alias("node")).join(roots.select(F.col("id").alias("root")).hint("merge"), "root", "left_semi").distinct().withColumn("depth", F.lit(0).cast("bigint"))
+    rows = found.unionByName(own).join(names.select(F.col("id").alias("node"), F.col("name").alias("dependent")).hint("merge"), "node").join(names.select(F.col("id").alias("root"), "name").hint("merge"), "root")
+    return rows.join(region.select(F.col("id").alias("node"), "region").hint("merge"), "node", "left").select("name", "dependent", "depth", (F.col("depth") <= 1).alias("direct"), "region")
+
+
+def influence_witnesses(nodes: DataFrame, links: DataFrame, visible: DataFrame, roots: DataFrame, max_depth: int, most: int = 3) -> DataFrame:
+    """(name, place, path, depth): for each of ``roots`` (id, visible theorems) the ``most`` deepest theorems that rest on it, ties by name, each with the names along its way down to the root."""
+    found = graph.traverse(nodes, links, roots, max_depth, reverse=True).where("depth > 0").join(visible.select(F.col("id").alias("node"), F.col("name").alias("start")).hint("merge"), "node")
+    order = Window.partitionBy("root").orderBy(F.desc("depth"), "start")  # the limit on the place works before the shuffle
+    chosen = found.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= most)
+    return chosen.join(visible.select(F.col("id").alias("root"), "name").hint("merge"), "root").select("name", "place", F.reverse("path").alias("path"), "depth")
+
+
+def bridge_pairs(links: DataFrame, region: DataFrame) -> DataFrame:
+    """(name, from_region, to_region, path): every ordered pair of different regions that a theorem joins, with the first witness by name: a user in the one, the theorem, a prerequisite in the other.
+
+    The first user in a region and the first prerequisite in another witness their pair, so users and prerequisites are never multiplied with each other.
+    """
+    near = links.where("src <> dst")
+    users = near.join(region.select(F.col("id").alias("src"), F.col("name").alias("user"), F.col("region").alias("from_region")).hint("merge"), "src").groupBy(F.col("dst").alias("id"), "from_region").agg(F.min("user").alias("user"))
+    bases = near.join(region.select(F.col("id").alias("dst"), F.col("name").alias("base"), F.col("region").alias("to_region")).hint("merge"), "dst").groupBy(F.col("src").alias("id"), "to_region").agg(F.min("base").alias("base"))
+    both = users.join(bases.hint("merge"), "id").where("from_region <> to_region").join(region.select("id", "name").hint("merge"), "id")
+    return both.select("name", "from_region", "to_region", F.array("user", "name", "base").alias("path"))
+
+
+def bridge_witnesses(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """The first ``most`` witnesses of each theorem of ``bridge_pairs``, by the names along them."""
+    order = Window.partitionBy("name").orderBy("path")
+    return pairs.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= most).select("name", "place", "path", "from_region", "to_region")
+
+
+def influence_reason(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("reason", F.format_string("%d theorem(s) rest on it, %d of them directly, in %d graph region(s)", "reachable", "direct", "regions"))
+
+
+def bridge_reason(rows: DataFrame) -> DataFrame:
+    some = F.format_string("direct witnesses lead through it between %d ordered pair(s) of graph regions", "region_pairs")
+    return rows.withColumn("reason", F.when(F.col("region_pairs") > 0, some).otherwise("no direct witness joins different graph regions"))
+
+
+def neighbor_reason(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``operators.structure.graph_neighbours``."""
+    claim = F.when(F.col("exact_equal"), "exactly equal expressions").when(F.col("alpha_equivalent"), "expressions equal up to the names of binders").otherwise("neither exact nor alpha equality")
+    return rows.withColumn("reason", F.format_string("closest is %s with a combined similarity of %.3f; %s", "name", "combined_score", claim))

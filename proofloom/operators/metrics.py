@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,18 @@ def group_counts(declarations: DataFrame, column: str) -> DataFrame:
     return declarations.groupBy(F.coalesce(column, F.lit(UNKNOWN)).alias(column)).agg(F.count(F.lit(1)).alias("declarations"))
 
 
-def summary(declarations: DataFrame, edges: DataFrame, expressions: DataFrame) -> DataFrame:
-    """One row. The filter's layer bears on edges only, not on sizes."""
+def summary(declarations: DataFrame, edges: DataFrame, expressions: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """One row. The filter's layer bears on edges only, not on sizes. ``symbols``: those that pass the filter, counted if given."""
     own = declarations.agg(
-        F.count(F.lit(1)).alias("declarations"), F.count_if(F.col("kind") == "theorem").alias("theorems"), F.count_if(F.col("has_value")).alias("with_value"), F.count("start_line").alias("source_backed"), F.countDistinct("module_name").alias("modules")
+        F.count(F.lit(1)).alias("declarations"), F.count_if(F.col("kind") == "theorem").alias("theorems"), F.count_if(F.col("has_value")).alias("with_value"), F.count("start_line").alias("source_backed"), F.countDistinct("module_name").alias("modules"), F.count("generation_kind").alias("generated")
     )
     sized = expressions.join(declarations, "decl_id", "left_semi")
     sums = [F.sum(F.when(F.col("layer") == side, F.col(c))).alias(f"{side}_{n}") for side in ("statement", "proof") for c, n in (("total_occurrences", "occurrences"), ("unique_nodes", "unique_nodes"))]
     links = edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if("target_in_corpus").alias("internal_edges"), F.sum("occurrences").alias("edge_occurrences"))
     # the three single rows are stacked, each null where another has its figures, and folded into one
-    parts = [own, sized.agg(*sums), links]
+    parts = [own, sized.agg(*sums), links] + ([symbols.agg(F.count(F.lit(1)).alias("symbols"))] if symbols is not None else [])
     names = [c for p in parts for c in p.columns]
-    stacked = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return stacked.agg(*[F.max(c).alias(c) for c in names])
 
 
@@ -69,6 +71,19 @@ def declaration_metrics(declarations: DataFrame, edges: DataFrame, expressions:
     return rows.select("name", "layer", label.alias("label"), "total_occurrences", "unique_nodes", ratio.alias("compression"), "distinct_constants", "internal_dependencies", "external_dependencies", "modules_referenced")
 
 
+def export_metrics(declarations: DataFrame, expressions: DataFrame) -> DataFrame:
+    """A row per declaration with the sizes of both its expressions, 0 where there is none. Depths are 0 where the corpus doesn't know them."""
+    known = expressions if "max_depth" in expressions.columns else expressions.withColumn("max_depth", F.lit(0).cast("bigint"))
+    figures = (("occurrences", "total_occurrences"), ("unique_nodes", "unique_nodes"), ("depth", "max_depth"), ("dependencies", "distinct_constants"))
+    wide = known.groupBy("decl_id").agg(*[F.max(F.when(F.col("layer") == layer, F.col(c))).alias(f"{side}_{n}") for layer, side in (("statement", "statement"), ("proof", "value")) for n, c in figures])
+    axioms = F.greatest(F.size(F.array_distinct(F.filter("axioms", lambda x: x.isNotNull()))), F.lit(0)).cast("bigint")
+    rows = declarations.join(wide.hint("merge"), "decl_id", "left")
+    return rows.select(
+        "name", F.coalesce("module_name", F.lit("")).alias("module"), "kind", F.col("generation_kind").isNotNull().alias("generated"), F.col("start_line").isNotNull().alias("source_backed"),
+        F.col("doc_string").isNotNull().alias("has_documentation"), F.coalesce(axioms, F.lit(0)).cast("bigint").alias("axiom_count"), *[F.coalesce(c, F.lit(0)).alias(c) for c in wide.columns if c != "decl_id"],
+    )
+
+
 def constant_frequencies(expressions: DataFrame) -> DataFrame:
     """Occurrences of each named constant per declaration and layer, with its place by (occurrences desc, name); null names are none, null occurrences 0."""
     c = expressions.select("decl_id", "layer", F.explode("constant_frequencies").alias("c")).where("c.name is not null")
@@ -77,15 +92,15 @@ def constant_frequencies(expressions: DataFrame) -> DataFrame:
 
 
 def rank(declarations: DataFrame, edges: DataFrame | None, expressions: DataFrame, metric: str, limit: int) -> DataFrame:
-    """The first ``limit`` declarations by (value desc, name), null values as 0. ``metric``: axioms, or statement-/proof-/value- with occurrences, unique-nodes, constants or dependencies."""
+    """The first ``limit`` declarations by (value desc, name), null values as 0. ``metric``: axioms, or statement-/proof-/value- with occurrences, unique-nodes, constants, dependencies or, where the expressions tell it, depth."""
     side, _, what = metric.replace("value-", "proof-").partition("-")
-    columns = {"occurrences": "total_occurrences", "unique-nodes": "unique_nodes", "constants": "distinct_constants"}
+    columns = {"occurrences": "total_occurrences", "unique-nodes": "unique_nodes", "constants": "distinct_constants", "depth": "max_depth"}
     if metric == "axioms":
         values = declarations.select("decl_id", F.size(F.array_distinct(F.filter("axioms", lambda x: x.isNotNull()))).alias("value"))
         values = values.withColumn("value", F.when(F.col("value") > 0, F.col("value")).otherwise(0))
     elif side in ("statement", "proof") and what == "dependencies":
         values = edges.where(F.col("layer") == side).groupBy(F.col("source_id").alias("decl_id")).agg(F.count(F.lit(1)).alias("value"))
-    elif side in ("statement", "proof") and what in columns:
+    elif side in ("statement", "proof") and what in columns and columns[what] in expressions.columns:
         values = expressions.where(F.col("layer") == side).select("decl_id", F.col(columns[what]).alias("value"))
     else:
         raise ValueError(f"unknown metric {metric!r}")
@@ -102,6 +117,13 @@ def neighbours(edges: DataFrame, own: str, other: str, limit: int) -> DataFrame:
     return placed.join(counts, own)
 
 
+def rollups(edges: DataFrame, own: str, other: str) -> DataFrame:
+    """(``own``, rollup, value, occurrences): the occurrences of every ``own`` by module and by kind at the ``other`` end of its edges; unknown ones are ``<unknown>``."""
+    by = F.explode(F.array(*[F.struct(F.lit(n).alias("by"), F.coalesce(f"{other}_{n}", F.lit(UNKNOWN)).alias("value")) for n in ("module", "kind")]))
+    rows = edges.select(own, "occurrences", by.alias("g"))
+    return rows.groupBy(own, F.col("g.by").alias("rollup"), F.col("g.value").alias("value")).agg(F.sum("occurrences").alias("occurrences"))
+
+
 def dependents_counts(edges: DataFrame) -> DataFrame:
     """Per target, external ones too: distinct sources, edges, occurrences."""
     return edges.groupBy("target").agg(F.countDistinct("source").alias("direct_dependents"), F.count(F.lit(1)).alias("edges"), F.sum("occurrences").alias("occurrences"))

@@ -97,6 +97,27 @@ def inline_schema(schema: T.StructType, root: str, key: list[str]) -> dict[str,
     return tables
 
 
+def keep_known(tables: dict[str, FlatTable], schema: T.StructType) -> dict[str, FlatTable]:
+    """``tables`` with only those occurrences and columns that records of the pruned type ``schema`` still hold; names stay those of the whole type."""
+
+    def reach(t: T.DataType, path: str) -> T.DataType | None:
+        for name in path.split(".") if path else []:
+            t = t.elementType if isinstance(t, T.ArrayType) else t
+            if not isinstance(t, T.StructType) or name not in t.names:
+                return None
+            t = t[name].dataType
+        return t.elementType if isinstance(t, T.ArrayType) else t
+
+    out = {}
+    for name, table in tables.items():
+        places = [(o, reach(schema, ".".join(p for _, p, _ in o.hops))) for o in table.occurrences]
+        places = [(o, t) for o, t in places if t is not None]
+        columns = {c: path for c, path in table.columns.items() if all(reach(t, path) is not None for _, t in places)}
+        if places:
+            out[name] = FlatTable(name, table.parent, columns, table.value, [o for o, _ in places])
+    return out
+
+
 def _at(base: Column, path: str) -> Column:
     return reduce(lambda c, p: c.getField(p), path.split("."), base) if path else base
 

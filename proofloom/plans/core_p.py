@@ -42,25 +42,27 @@ RENAMED = {"type_text": "type", "value_text": "value", "var_index": "index"}
 IDS = {"raw_steps": "id", "context": "id", "nodes": "id"}
 
 
-def outlines(spark: SparkSession, directory: str, paths: list[str], once: bool = True) -> DataFrame:
-    """outline_id and the part of raw_steps that ``paths`` reach, of proof_outlines and the whole payloads of raw_outlines.
+def outlines(spark: SparkSession, directory: str, paths: list[str], once: bool = True, extra: list[str] | None = None) -> DataFrame:
+    """outline_id, the columns ``extra`` of an outline and the part of raw_steps that ``paths`` reach, of proof_outlines and the whole payloads of raw_outlines.
 
     ``once``: one row per outline, the last sent; a payload that isn't whole never stands in for a whole one.
     """
     schema = spark.read.parquet(f"{directory}/proof_outlines.parquet").schema
-    steps = nested.prune(T.StructType([schema["raw_steps"]]), paths)
+    steps = T.StructType([schema[c] for c in extra or []] + nested.prune(T.StructType([schema["raw_steps"]]), paths).fields)
     typed = spark.read.schema(T.StructType([schema["outline_id"], *steps.fields, schema["received_at"]])).parquet(f"{directory}/proof_outlines.parquet")
     payloads = table(spark, directory, "raw_outlines").select("outline_id", "payload", "received_at")
     raw = nested.conform(payloads, "payload", steps, "_doc", RENAMED).where("_doc is not null")
-    raw = raw.select("outline_id", F.col("_doc.raw_steps").alias("raw_steps"), "received_at")
+    raw = raw.select("outline_id", *[F.col(f"_doc.{f.name}").alias(f.name) for f in steps.fields], "received_at")
     both = typed.unionByName(raw)
     return latest(both, ["outline_id"]) if once else both
 
 
 def _flat(spark: SparkSession, directory: str, name: str, paths: list[str], once: bool = True, refers: dict | None = None) -> DataFrame:
+    """Table ``name`` of the records. Which tables there are follows from the whole type of the records; the scan reads only what ``paths`` name, and of the table so much is filled."""
     rows = outlines(spark, directory, paths, once).drop("received_at")
-    tables = nested.inline_schema(rows.schema, "outline", ["outline_id"])
-    return nested.flatten(rows, tables, name, ["outline_id"], IDS, refers)
+    whole = spark.read.parquet(f"{directory}/proof_outlines.parquet").schema
+    tables = nested.inline_schema(T.StructType([whole["outline_id"], whole["raw_steps"]]), "outline", ["outline_id"])
+    return nested.flatten(rows, nested.keep_known(tables, rows.schema), name, ["outline_id"], IDS, refers)
 
 
 def p3_steps(spark: SparkSession, directory: str) -> DataFrame:

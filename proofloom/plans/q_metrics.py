@@ -20,11 +20,11 @@ def module_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def declarations_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = DEFAULT.declarations(Corpus(spark, d).declarations)
-    return rows.select("decl_id", "name", "kind", "module_name", visibility().alias("visibility"), "has_value", F.col("start_line").isNotNull().alias("source_backed"))
+    return rows.select("decl_id", "name", "kind", "module_name", visibility().alias("visibility"), "has_value", F.col("start_line").isNotNull().alias("source_backed"), "type_text", F.col("generation_kind").isNotNull().alias("generated"), F.col("doc_string").isNotNull().alias("documented"))
 
 
 def symbols_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = Corpus(spark, d).symbols.where("not hidden and not coalesce(is_class, false) and not coalesce(is_instance, false) and not coalesce(is_projection, false)")
+    rows = DEFAULT.symbols(Corpus(spark, d).symbols)
     return rows.select("name", "kind", "module_name", F.col("decl_id").isNotNull().alias("in_corpus"))
 
 
@@ -41,7 +41,7 @@ def edges_internal_proof(spark: SparkSession, d: str) -> DataFrame:
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
     declarations, edges = c.filtered(DEFAULT)
-    return metrics.summary(declarations, edges, c.expressions)
+    return metrics.summary(declarations, edges, c.expressions, DEFAULT.symbols(c.symbols))
 
 
 def counts_by_kind(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _rank(metric: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         c = Corpus(spark, d)
         declarations = DEFAULT.declarations(c.declarations)
-        edges = DEFAULT.edges(c.edges, c.declarations) if metric.endswith("dependencies") else None
+        edges = c.filtered(DEFAULT)[1] if metric.endswith("dependencies") else None
         return metrics.rank(declarations, edges, c.expressions, metric, 100)
 
     query.__name__ = f"rank_{metric.replace('-', '_')}"
@@ -105,9 +105,19 @@ def direct_dependents(spark: SparkSession, d: str) -> DataFrame:
 def dependency_rollups(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of every declaration's dependencies by target module and by target kind."""
     _, edges = Corpus(spark, d).filtered(DEFAULT)
-    by = F.explode(F.array(F.struct(F.lit("module").alias("by"), F.coalesce("target_module", F.lit("<unknown>")).alias("value")), F.struct(F.lit("kind").alias("by"), F.coalesce("target_kind", F.lit("<unknown>")).alias("value"))))
-    rows = edges.select("source", "occurrences", by.alias("g"))
-    return rows.groupBy("source", F.col("g.by").alias("rollup"), F.col("g.value").alias("value")).agg(F.sum("occurrences").alias("occurrences"))
+    return metrics.rollups(edges, "source", "target")
+
+
+def dependents_rollups(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of every target's dependents by source module and by source kind."""
+    _, edges = Corpus(spark, d).filtered(DEFAULT)
+    return metrics.rollups(edges, "target", "source")
+
+
+def dependents_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of every target in (source, layer) order, at most 500 each, with a mark where more were cut off."""
+    _, edges = Corpus(spark, d).filtered(DEFAULT)
+    return metrics.neighbours(edges, "target", "source", 500)
 
 
 def search(spark: SparkSession, d: str) -> DataFrame:
@@ -136,8 +146,13 @@ def export_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def merge_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of two snapshots merged, the first snapshot's row wins; with where each came from."""
+def export_metrics(spark: SparkSession, d: str) -> DataFrame:
+    c = Corpus(spark, d)
+    return metrics.export_metrics(DEFAULT.declarations(c.declarations), c.expressions)
+
+
+def merged_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations and all that edges name merged as symbols, the first part's row wins; with where each came from."""
     c = Corpus(spark, d)
     from proofloom.sources.snapshot import merge_symbols
 
@@ -151,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         module_rollup, declarations_filtered, symbols_filtered, edges_filtered, edges_internal_proof, corpus_summary, counts_by_kind, counts_by_module, breakdown, size_distribution, size_histogram,
-        declaration_metrics, constant_frequencies, *map(_rank, RANKS), direct_dependencies, direct_dependents, dependency_rollups, search, trust, export_nodes, export_edges, merge_snapshots,
+        declaration_metrics, constant_frequencies, *map(_rank, RANKS), direct_dependencies, direct_dependents, dependency_rollups, search, trust, export_nodes, export_edges, export_metrics, merged_symbols, dependents_rollups, dependents_listed,
     )
 }
 
@@ -192,12 +207,13 @@ select rank, name, "value" from (select row_number() over (order by "value" desc
 
 SQL = {
     "module_rollup": f"with {BASE} select coalesce(source_module, '<unknown>') source_module, coalesce(target_module, '<unknown>') target_module, layer, sum(occurrences)::bigint occurrences from f group by 1, 2, 3",
-    "declarations_filtered": f"with {BASE} select decl_id, name, kind, module_name, case when is_internal then 'internal' when is_private then 'private' else 'public' end visibility, has_value, start_line is not null source_backed from v",
+    "declarations_filtered": f"with {BASE} select decl_id, name, kind, module_name, case when is_internal then 'internal' when is_private then 'private' else 'public' end visibility, has_value, start_line is not null source_backed, type_text, generation_kind is not null as generated, doc_string is not null documented from v",
     "symbols_filtered": f"with {BASE} select name, kind, module_name, decl_id is not null in_corpus from sym where not hidden and not coalesce(is_class, false) and not coalesce(is_instance, false) and not coalesce(is_projection, false)",
     "edges_filtered": f"with {BASE} select source, target, layer, occurrences, target_in_corpus, target_kind, target_module from f",
     "edges_internal_proof": f"with {BASE} select source, target, occurrences from f where target_in_corpus and layer = 'proof' and source_id in (select decl_id from v where kind = 'theorem' and start_line is not null)",
     "corpus_summary": f"""with {BASE} select (select count(*) from v) declarations, (select count(*) from v where kind = 'theorem') theorems, (select count(*) from v where has_value) with_value,
-(select count(*) from v where start_line is not null) source_backed, (select count(distinct module_name) from v) modules,
+(select count(*) from v where start_line is not null) source_backed, (select count(distinct module_name) from v) modules, (select count(generation_kind) from v) as generated,
+(select count(*) from sym where not hidden and not coalesce(is_class, false) and not coalesce(is_instance, false) and not coalesce(is_projection, false)) symbols,
 (select sum(total_occurrences)::bigint from xv where layer = 'statement') statement_occurrences, (select sum(unique_nodes)::bigint from xv where layer = 'statement') statement_unique_nodes,
 (select sum(total_occurrences)::bigint from xv where layer = 'proof') proof_occurrences, (select sum(unique_nodes)::bigint from xv where layer = 'proof') proof_unique_nodes,
 (select count(*) from f) edges, (select count(*) from f where target_in_corpus) internal_edges, (select sum(occurrences)::bigint from f) edge_occurrences""",
@@ -231,6 +247,15 @@ start_line is not null source_available, doc_string is not null doc_available, c
     "export_nodes": f"""with {BASE} select v.name id, split_part(v.name, '.', -1) display_name, v.module_name as "module", v.kind, v.generation_kind is not null generated, start_line is not null source_backed,
 coalesce(a.total_occurrences, 0) statement_occurrences, coalesce(b.total_occurrences, 0) value_occurrences from v left join x a on a.decl_id = v.decl_id and a.layer = 'statement' left join x b on b.decl_id = v.decl_id and b.layer = 'proof'""",
     "export_edges": f"with {BASE} select source, target, upper(layer[1]) || layer[2:] layer, occurrences, target_in_corpus, source_module, target_module, target_kind, target_is_class, target_is_instance, target_is_projection from f",
-    "merge_snapshots": f"""with {BASE} select name, kind, module_name, 0 snapshot from d union all
+    "export_metrics": f"""with {BASE}, w as (select decl_id, max(total_occurrences) filter (layer = 'statement') statement_occurrences, max(unique_nodes) filter (layer = 'statement') statement_unique_nodes, max(distinct_constants) filter (layer = 'statement') statement_dependencies,
+  max(total_occurrences) filter (layer = 'proof') value_occurrences, max(unique_nodes) filter (layer = 'proof') value_unique_nodes, max(distinct_constants) filter (layer = 'proof') value_dependencies from x group by 1)
+select name, coalesce(module_name, '') "module", kind, generation_kind is not null as generated, start_line is not null source_backed, doc_string is not null has_documentation, coalesce(len(list_distinct(list_filter(axioms, lambda a: a is not null))), 0) axiom_count,
+coalesce(statement_occurrences, 0) statement_occurrences, coalesce(statement_unique_nodes, 0) statement_unique_nodes, 0::bigint statement_depth, coalesce(statement_dependencies, 0) statement_dependencies,
+coalesce(value_occurrences, 0) value_occurrences, coalesce(value_unique_nodes, 0) value_unique_nodes, 0::bigint value_depth, coalesce(value_dependencies, 0) value_dependencies from v left join w on v.decl_id = w.decl_id""",
+    "dependents_rollups": f"""with {BASE} select target, 'module' as rollup, coalesce(source_module, '<unknown>') as "value", sum(occurrences)::bigint occurrences from f group by all
+union all select target, 'kind', coalesce(source_kind, '<unknown>'), sum(occurrences)::bigint from f group by all""",
+    "dependents_listed": f"""with {BASE}, r as (select source, target, layer, occurrences, row_number() over (partition by target order by source, layer) place, count(*) over (partition by target) n from f)
+select target, source, layer, occurrences, place, n > 500 truncated from r where place <= 500""",
+    "merged_symbols": f"""with {BASE} select name, kind, module_name, 0 snapshot from d union all
 select target, max(target_kind), max(target_module), 1 from e where target not in (select name from d) group by 1""",
 }

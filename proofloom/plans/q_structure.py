@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.functions import dag
 from proofloom.functions.text import node_label
-from proofloom.operators import proof, structure, validate
+from proofloom.operators import groups, proof, structure, validate
 from proofloom.operators.filters import AnalysisFilter
-from proofloom.plans import core_p
+from proofloom.plans import core_p, core_p_sql
 from proofloom.plans.corpus import Corpus
 from proofloom.plans.q_metrics import BASE
 from proofloom.session import cut
@@ -19,15 +21,20 @@ DEFAULT = AnalysisFilter()
 ONCE = "filter(raw_steps, (x, i) -> x is not null and x.id is not null and array_position(transform(raw_steps, s -> s.id), x.id) = i + 1)"
 
 
+def _told(spark: SparkSession, d: str, fields: list[str], extra: list[str] | None = None) -> DataFrame:
+    """outline_id, ``extra`` and the distinct steps (by id) of every outline, of proof_outlines and of the whole payloads of raw_outlines, with ``fields`` of each step."""
+    rows = core_p.outlines(spark, d, [f"raw_steps.{f}" for f in dict.fromkeys(["id", *fields])], extra=extra).drop("received_at")
+    return rows.withColumn("raw_steps", F.expr(ONCE))
+
+
 def _steps(spark: SparkSession, d: str, *fields: str) -> DataFrame:
-    """outline_id, declaration and the distinct steps of every outline, exploded to ``fields``."""
-    rows = Corpus(spark, d).outlines.select("outline_id", "declaration", "conclusion_step", F.explode(F.expr(ONCE)).alias("s"))
-    return rows.select("outline_id", "declaration", "conclusion_step", F.col("s.id").alias("step_id"), *[F.col(f"s.{f}").alias(f) for f in fields])
+    """outline_id, conclusion_step and the distinct steps of every outline, exploded to ``fields``."""
+    rows = _told(spark, d, list(fields), ["conclusion_step"]).select("outline_id", "conclusion_step", F.explode("raw_steps").alias("s"))
+    return rows.select("outline_id", "conclusion_step", F.col("s.id").alias("step_id"), *[F.col(f"s.{f}").alias(f) for f in fields])
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    steps = F.expr(f"transform({ONCE}, s -> named_struct('id', s.id, 'kind', s.kind, 'proposition', s.proposition, 'prerequisite_steps', s.prerequisite_steps, 'named_references', s.named_references))")
-    return Corpus(spark, d).outlines.select("outline_id", "conclusion_step", steps.alias("steps"))
+    return _told(spark, d, ["kind", "proposition", "prerequisite_steps", "named_references"], ["conclusion_step"]).select("outline_id", "conclusion_step", F.col("raw_steps").alias("steps"))
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
@@ -36,9 +43,9 @@ def _graphs(spark: SparkSession, d: str) -> DataFrame:
     graphs = [f"raw_steps.{at}.{f}" for at in ("proposition_graph", "context.type_graph") for f in ("root", "nodes")]
     rows = core_p.outlines(spark, d, ["raw_steps.id", "raw_steps.context.id", *graphs]).drop("received_at")
     names = latest(table(spark, d, "declarations"), ["decl_id"], keep=["name"])
-    raw = table(spark, d, "raw_outlines").groupBy("outline_id").agg(F.max("decl_id").alias("decl_id")).join(names, "decl_id", "left")
-    owners = Corpus(spark, d).outlines.select("outline_id", "declaration").unionByName(raw.select("outline_id", F.coalesce("name", F.concat(F.lit("outline:"), "outline_id")).alias("declaration")))
-    steps = rows.join(owners, "outline_id").select("outline_id", "declaration", F.explode(F.expr(ONCE)).alias("s"))
+    raw = table(spark, d, "raw_outlines").groupBy("outline_id").agg(F.max("decl_id").alias("decl_id")).join(names.hint("merge"), "decl_id", "left")
+    owners = Corpus(spark, d).outlines_of(["declaration"]).unionByName(raw.select("outline_id", F.coalesce("name", F.concat(F.lit("outline:"), "outline_id")).alias("declaration")))
+    steps = rows.join(owners.hint("merge"), "outline_id").select("outline_id", "declaration", F.explode(F.expr(ONCE)).alias("s"))
     entries = "filter(s.context, (x, i) -> x is not null and (x.id is null or array_position(transform(s.context, c -> c.id), x.id) = i + 1))"
     own = "array(named_struct('context_id', cast(null as string), 'graph', s.proposition_graph))"
     both = F.expr(f"concat({own}, coalesce(transform({entries}, x -> named_struct('context_id', x.id, 'graph', x.type_graph)), array()))")
@@ -82,7 +89,7 @@ def repeated_for_declaration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_labels(spark: SparkSession, d: str) -> DataFrame:
-    """How often each node label stands in the propositions of proof_outlines, as its SQL has it: neither context types nor raw_outlines count."""
+    """How often each node label stands in the propositions of all outlines."""
     nodes = _steps(spark, d, "proposition_graph").select(F.explode("proposition_graph.nodes").alias("n")).where("n is not null")
     return nodes.groupBy(node_label(F.col("n")).alias("label")).agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -108,24 +115,19 @@ def neighbors_top3(spark: SparkSession, d: str) -> DataFrame:
     return structure.neighbours(rows.select("name", "deps", "unique_nodes"), rows.where("decl_id % 100 = 0").select("name"))
 
 
-def _groups(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
-    """Visible declarations with the group of those of the same kind and statement: (decl_id, name, endpoint, group_size)."""
+def _ends(spark: SparkSession, d: str, seen=None) -> tuple[DataFrame, DataFrame]:
+    """(end points of the declarations that are shown, the edges between different ones)."""
     c = Corpus(spark, d)
-    rows = DEFAULT.declarations(c.declarations).select("decl_id", "name", "kind", "type_text")
-    key = F.sha1(F.concat_ws("\0", "kind", "type_text"))
-    rows = rows.withColumn("fingerprint", F.when(F.col("type_text").isNotNull(), key))
-    groups = rows.where("fingerprint is not null").groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.octet_length("type_text").alias("n"), F.col("name"))).alias("r"), F.min("name").alias("first_name")
-    )
-    groups = cut(groups.select("fingerprint", "group_size", F.col("r.name").alias("representative"), "first_name"), "groups")
-    joined = rows.join(groups, "fingerprint", "left")
-    many = F.coalesce(F.col("group_size"), F.lit(1)) > 1
-    return c, cut(joined.select("decl_id", "name", "kind", F.when(many, F.concat(F.lit("group:"), "representative")).otherwise(F.concat(F.lit("decl:"), "name")).alias("endpoint"), F.coalesce("group_size", F.lit(1)).alias("group_size")), "endpoints")
+    rows = c.declarations.where(~F.col("hidden") if seen is None else seen).select("decl_id", "name", "kind", "type_text")
+    ends = groups.endpoints(rows, c.fingerprints)
+    return ends, cut(groups.between(c.filtered(DEFAULT)[1], ends), "between")
 
 
 def equivalence_groups(spark: SparkSession, d: str) -> DataFrame:
-    _, ends = _groups(spark, d)
-    return ends.where("group_size > 1").groupBy("endpoint", "kind").agg(F.count(F.lit(1)).alias("members"), F.min("name").alias("first_member"))
+    """Visible declarations of the same kind and statement."""
+    c = Corpus(spark, d)
+    found = groups.equivalence_groups(DEFAULT.declarations(c.declarations).select("decl_id", "name", "kind", "type_text"), c.fingerprints).where("members > 1")
+    return found.select("group_id", F.concat(F.lit("group:"), "representative").alias("endpoint"), "kind", "members", "first_member")
 
 
 def equivalence_graphs(spark: SparkSession, d: str) -> DataFrame:
@@ -137,23 +139,37 @@ def equivalence_graphs(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("members > 1").select(F.col("alpha").alias("group_id"), "members", F.col("b.declaration").alias("representative"))
 
 
-def _ends(spark: SparkSession, d: str) -> DataFrame:
-    c, ends = _groups(spark, d)
-    edges = DEFAULT.edges(c.edges, c.declarations).where("target_id is not null")
-    user = ends.select(F.col("decl_id").alias("source_id"), F.col("endpoint").alias("user"))
-    base = ends.select(F.col("decl_id").alias("target_id"), F.col("endpoint").alias("prerequisite"))
-    return edges.join(user, "source_id").join(base, "target_id").where("user <> prerequisite")
-
-
 def grouped_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges between groups and single declarations, from the prerequisite to its user."""
-    layer = lambda n: F.coalesce(F.sum(F.when(F.col("layer") == n, F.col("occurrences"))), F.lit(0)).alias(f"{n}_occurrences")
-    return _ends(spark, d).groupBy("prerequisite", "user").agg(F.sum("occurrences").alias("occurrences"), layer("statement"), layer("proof"))
+    return groups.grouped_edges(_ends(spark, d)[1])
 
 
 def group_dependents(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct declarations outside a group or declaration that use it directly."""
-    return _ends(spark, d).groupBy("prerequisite").agg(F.countDistinct("source_id").alias("direct_dependents"))
+    return groups.dependents(_ends(spark, d)[1])
+
+
+def theorem_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Grouped edges where only theorems are shown."""
+    return groups.grouped_edges(_ends(spark, d, groups.shown(definitions=False))[1])
+
+
+def top_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The five end points that most declarations use."""
+    ends, met = _ends(spark, d)
+    return groups.labels(groups.graph(met, ends))
+
+
+def bootstrap_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Visible declarations and theorems, theorems with an outline, groups of several, and connections between end points."""
+    c = Corpus(spark, d)
+    own = DEFAULT.declarations(c.declarations)
+    ends, met = _ends(spark, d)
+    parts = [
+        own.agg(F.count(F.lit(1)).alias("declarations"), F.count_if(F.col("kind") == "theorem").alias("theorems")), bootstrap(spark, d).agg(F.count(F.lit(1)).alias("outlined")),
+        ends.where("group_size > 1").agg(F.countDistinct("endpoint").alias("groups")), groups.grouped_edges(met).agg(F.count(F.lit(1)).alias("connections")),
+    ]
+    names = [x for p in parts for x in p.columns]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*[F.max(x).alias(x) for x in names])
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +181,7 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def witness_edges(spark: SparkSession, d: str) -> DataFrame:
     """For every pair of endpoints the first edge that witnesses it, by source, target and layer."""
-    return _ends(spark, d).groupBy("prerequisite", "user").agg(F.min(F.struct("source", "target", "layer")).alias("w")).select("prerequisite", "user", "w.source", "w.target", "w.layer")
+    return groups.first_witnesses(_ends(spark, d)[1])
 
 
 def proof_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +194,26 @@ def proof_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proof_paths(spark: SparkSession, d: str) -> DataFrame:
-    return proof.per_record(_records(spark, d), ["outline_id"], proof.path_rows, "step bigint, paths bigint, longest bigint, truncated boolean")
+    """How many ways lead from every step to the conclusion, the longest, and how many of them ``proof_paths_listed`` lists."""
+    return proof.per_record(_records(spark, d), ["outline_id"], proof.path_rows, "step bigint, listed bigint, longest bigint, truncated boolean, paths string")
+
+
+def proof_paths_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred ways of every step to the conclusion."""
+    rows = proof.per_record(_records(spark, d), ["outline_id"], proof.listed_paths, "step bigint, place bigint, path array<bigint>")
+    return rows.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+def proof_prerequisites(spark: SparkSession, d: str) -> DataFrame:
+    """Every step with the ids of its direct prerequisites, direct dependents and all it rests on."""
+    names = ("direct_prerequisites", "direct_dependents", "transitive_prerequisites")
+    rows = proof.per_record(_records(spark, d), ["outline_id"], proof.prerequisite_rows, "step bigint, " + ", ".join(f"{n} array<bigint>" for n in names))
+    return rows.select("outline_id", "step", *[F.array_join(F.col(n).cast("array<string>"), ",").alias(n) for n in names])
+
+
+def proof_edge_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per outline the condensed edges, their ways and the longest."""
+    return proof_outline_edges(spark, d).groupBy("outline_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("paths").alias("paths"), F.max("longest").alias("longest"))
 
 
 def proof_outline(spark: SparkSession, d: str) -> DataFrame:
@@ -208,13 +243,14 @@ def validation_graphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validation_steps(spark: SparkSession, d: str) -> DataFrame:
-    return validate.step_rules(Corpus(spark, d).outlines)
+    fields = ["context.id", "context.kind", "scope", "proof_term_path", "kind", "prerequisite_steps", "hypothesis_references"]
+    return validate.step_rules(core_p.outlines(spark, d, [f"raw_steps.{f}" for f in ["id", *fields]], extra=["complete", "truncation_reason", "conclusion_step"]))
 
 
 def shared_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """For every compared pair the targets that both sides depend on, by the corpus's visible edges."""
     c = Corpus(spark, d)
-    edges = DEFAULT.edges(c.edges, c.declarations).select("source", "target").distinct()
+    edges = c.filtered(DEFAULT)[1].select("source", "target").distinct()
     sets = cut(edges.groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("targets")), "targets-of")  # as long as a declaration's own list
     pairs = table(spark, d, "declaration_comparisons").select("comparison_id", "left_name", "right_name").distinct()
     both = pairs.join(sets.toDF("left_name", "l"), "left_name").join(sets.toDF("right_name", "r"), "right_name")
@@ -230,16 +266,13 @@ def declaration_dependents(spark: SparkSession, d: str) -> DataFrame:
 
 def visible_graph(spark: SparkSession, d: str) -> DataFrame:
     """The end points of the grouped graph: groups with several members, and single declarations, with their direct dependents."""
-    _, ends = _groups(spark, d)
-    own = ends.groupBy("endpoint").agg(F.count(F.lit(1)).alias("members"))
-    return own.join(group_dependents(spark, d).withColumnRenamed("prerequisite", "endpoint"), "endpoint", "left").fillna(0, ["direct_dependents"])
+    ends, met = _ends(spark, d)
+    return groups.graph(met, ends)
 
 
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Declarations and an order-free checksum of their names and statements: the sum of the first 32 bits of each one's MD5."""
-    rows = Corpus(spark, d).declarations
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", "name", "type_text")), 1, 8), 16, 10).cast("bigint")
-    return rows.agg(F.count(F.lit(1)).alias("declarations"), F.sum(part).alias("checksum"))
+    """A digest of the names and statements of all declarations; the tables have no version and no imported modules."""
+    return groups.fingerprint(Corpus(spark, d).declarations.select("decl_id", "name", F.col("type_text").alias("digest")), "", [])
 
 
 def proof_layers(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +285,7 @@ QUERIES = {
     for f in (
         shared_dependencies, declaration_dependents, visible_graph, corpus_fingerprint, proof_layers, expression_sizes, kind_proportions, duplicates_exact, duplicates_alpha, repeated_structures, repeated_for_declaration, node_labels, compare_declarations, neighbors_top3, equivalence_groups,
         equivalence_graphs, grouped_edges, group_dependents, bootstrap, witness_edges, proof_edges, proof_closure, proof_paths, proof_outline, proof_outline_edges, outline_rarity, validation_violations,
-        validation_graphs, validation_steps,
+        validation_graphs, validation_steps, theorem_edges, top_labels, bootstrap_counts, proof_paths_listed, proof_prerequisites, proof_edge_totals,
     )
 }
 
@@ -266,14 +299,22 @@ def _ratio(a: str, b: str) -> str:
     return f"case when greatest({a}, {b}) > 0 then least({a}, {b})::double / greatest({a}, {b}) else 1.0 end"
 
 
-STEPS = """po as (select distinct on (outline_id) * from proof_outlines order by outline_id, received_at desc),
-s0 as (select outline_id, declaration, conclusion_step, unnest(raw_steps) s, generate_subscripts(raw_steps, 1) pos from po),
-st as (select outline_id, conclusion_step, s.id step, s.prerequisite_steps pre, s.named_references refs, s.proposition_graph g from (select *, row_number() over (partition by outline_id, s.id order by pos) k from s0 where s.id is not null) where k = 1)"""
+_L, _IDS = core_p_sql._list, "[try_cast(a->>'$' as bigint) for a in {}]"
+STEPS = f"""po as (select distinct on (outline_id) * from proof_outlines order by outline_id, received_at desc),
+wh as (select outline_id, arg_max(payload::json, received_at) j from raw_outlines where json_valid(payload) group by 1),
+rl as (select outline_id, try_cast(j->>'$.conclusionStep' as bigint) conclusion_step, j, {_L("(j->'$.rawSteps')")} steps from wh),
+s0 as (select outline_id, conclusion_step, unnest(raw_steps) s, generate_subscripts(raw_steps, 1) pos from po),
+j0 as (select outline_id, conclusion_step, unnest(steps) s, generate_subscripts(steps, 1) pos from rl),
+s1 as (select outline_id, conclusion_step, pos, s.id step, s.kind kind, s.proposition proposition, s.prerequisite_steps pre, s.named_references refs, [n for n in s.proposition_graph.nodes if n is not null] nodes from s0 where s.id is not null
+  union all select outline_id, conclusion_step, pos, try_cast(s->>'$.id' as bigint), s->>'$.kind', s->>'$.proposition', {_IDS.format(_L("(s->'$.prerequisiteSteps')"))}, [a->>'$' for a in {_L("(s->'$.namedReferences')")}],
+  [struct_pack(id := try_cast(n->>'$.id' as bigint), kind := n->>'$.kind', children := {_IDS.format(_L("(n->'$.children')"))}, name := n->>'$.name', var_index := try_cast(n->>'$.index' as bigint), value_text := n->>'$.value',
+    binder_info := n->>'$.binderInfo', universe_levels := [a->>'$' for a in {_L("(n->'$.universeLevels')")}]) for n in {_L("(s->'$.propositionGraph.nodes')")} if json_type(n) <> 'NULL'] from j0 where json_type(s) <> 'NULL' and try_cast(s->>'$.id' as bigint) is not null),
+st as (select outline_id, conclusion_step, step, kind, proposition, pre, refs, nodes from (select *, row_number() over (partition by outline_id, step order by pos) k from s1) where k = 1)"""
 EDGES = f"""{STEPS},
 p0 as (select outline_id, step, unnest(pre) p from st), pe as (select distinct p0.outline_id, p0.p prerequisite, p0.step from p0 join st on p0.outline_id = st.outline_id and p0.p = st.step where p0.p < p0.step)"""
 GROUPS = f"""{BASE},
-gr as (select kind, type_text, count(*) n, arg_min(name, (octet_length(encode(type_text)), name)) rep from v where type_text is not null group by 1, 2),
-ends as (select v.decl_id, v.name, v.kind, case when n > 1 then 'group:' || rep else 'decl:' || v.name end endpoint, coalesce(n, 1) n from v left join gr on v.kind is not distinct from gr.kind and v.type_text = gr.type_text),
+gr as (select kind, type_text, count(*) n, arg_min(name, (octet_length(encode(type_text)), name)) rep, bit_xor(('0x' || left(md5(name), 15))::bigint) gid, min(name) first_member from v where type_text is not null group by 1, 2),
+ends as (select v.decl_id, v.name, v.kind, case when n > 1 then 'group:' || rep else 'decl:' || v.name end endpoint, coalesce(n, 1) n from v left join gr on v.kind = gr.kind and v.type_text = gr.type_text),
 ge as (select f.*, u.endpoint "user", p.endpoint prerequisite from f join ends u on f.source_id = u.decl_id join ends p on f.target_id = p.decl_id where u.endpoint <> p.endpoint)"""
 MEANT = "not starts_with({n}, 'inst') and not contains({n}, '.to') and not contains({n}, '.match_') and {n} not in (" + ", ".join(f"'{x}'" for x in proof.PLUMBING) + ")"
 
@@ -284,10 +325,12 @@ select comparison_id, len(t)::bigint "shared", array_to_string(t, ';') targets f
     "declaration_dependents": f"with {BASE} select target, count(distinct source_id) direct_dependents from e where target_in_corpus group by 1",
     "visible_graph": f"""with {GROUPS}, o as (select endpoint, count(*) members from ends group by 1), g as (select prerequisite, count(distinct source_id) n from ge group by 1)
 select endpoint, members, coalesce(n, 0) direct_dependents from o left join g on o.endpoint = g.prerequisite""",
-    "corpus_fingerprint": f"with {BASE} select count(*) declarations, sum(('0x' || left(md5(concat_ws('|', name, type_text)), 8))::bigint)::bigint checksum from d",
+    "corpus_fingerprint": f"""with {BASE}, h as (select sha256(concat_ws('|', decl_id, name, type_text)) h from d),
+w as (select count(*) n, {', '.join(f"bit_xor(('0x' || substr(h, {1 + 15 * k}, 15))::bigint) w{k}" for k in range(4))} from h)
+select n declarations, sha256(concat_ws('|', '', '', n, w0, w1, w2, w3)) fingerprint from w""",
     "proof_layers": f"""with recursive {EDGES}, ly as (select outline_id, step, 0 as depth from st union select ly.outline_id, pe.step, ly.depth + 1 from ly join pe on ly.outline_id = pe.outline_id and ly.step = pe.prerequisite)
 select outline_id, step, max(depth)::bigint layer from ly group by 1, 2""",
-    "node_labels": f"""with {STEPS}, nd as (select unnest(g.nodes) n from st)
+    "node_labels": f"""with {STEPS}, nd as (select unnest(nodes) n from st)
 select concat_ws(' ', n.kind, n.name, '#' || n.var_index, n.binder_info, n.value_text, case when len(n.universe_levels) > 0 then 'levels=' || array_to_string(n.universe_levels, ',') end) as "label", count(*) nodes from nd where n is not null group by 1""",
     "compare_declarations": f"""with {FEATURES}, pairs as (select distinct comparison_id, left_name, right_name, layer from declaration_comparisons),
 c as (select p.*, l.deps ld, r.deps rd, len(list_intersect(l.deps, r.deps)) sh, {_ratio('l.unique_nodes', 'r.unique_nodes')} sr, {_ratio('l.total_occurrences', 'r.total_occurrences')} oc
@@ -298,7 +341,23 @@ select comparison_id, left_name, right_name, layer, sh::bigint "shared", (len(ld
 m as (select a.name query, b.name as name, len(list_intersect(a.deps, b.deps)) sh, len(a.deps) + len(b.deps) total, {_ratio('a.unique_nodes', 'b.unique_nodes')} r from t a join t b on a.name <> b.name where a.decl_id % 100 = 0),
 sc as (select query, name, round(((case when total - sh > 0 then sh / (total - sh) else 1.0 end) + r) / 2, 6) score from m)
 select * from (select *, row_number() over (partition by query order by score desc, name) place from sc) where place <= 3""",
-    "equivalence_groups": f"with {GROUPS} select endpoint, kind, count(*) members, min(name) first_member from ends where n > 1 group by 1, 2",
+    "equivalence_groups": f"with {GROUPS} select gid group_id, 'group:' || rep endpoint, kind, n members, first_member from gr where n > 1",
+    "theorem_edges": f"""with {GROUPS.replace("from v where type_text", "from v where kind = 'theorem' and type_text").replace("from v left join gr", "from (select * from v where kind = 'theorem') v left join gr")} select prerequisite, "user", sum(occurrences)::bigint occurrences, coalesce(sum(occurrences) filter (layer = 'statement'), 0)::bigint statement_occurrences, coalesce(sum(occurrences) filter (layer = 'proof'), 0)::bigint proof_occurrences from ge group by 1, 2""",
+    "top_labels": f"""with {GROUPS}, o as (select distinct endpoint from ends), g as (select prerequisite, count(distinct source_id) n from ge group by 1)
+select endpoint, coalesce(n, 0) direct_dependents from o left join g on o.endpoint = g.prerequisite order by 2 desc, 1 limit 5""",
+    "bootstrap_counts": f"""with {GROUPS} select (select count(*) from v) declarations, (select count(*) from v where kind = 'theorem') theorems, (select count(*) from v where kind = 'theorem' and decl_id in (select decl_id from proof_outlines)) outlined,
+(select count(distinct endpoint) from ends where n > 1) as "groups", (select count(*) from (select distinct prerequisite, "user" from ge)) connections""",
+    "proof_prerequisites": f"""with recursive {EDGES}, cl as (select outline_id, step, prerequisite a from pe union select cl.outline_id, cl.step, pe.prerequisite from cl join pe on cl.outline_id = pe.outline_id and cl.a = pe.step),
+g as (select outline_id, step, 'd' k, prerequisite x from pe union all select outline_id, prerequisite, 'u', step from pe union all select outline_id, step, 't', a from cl),
+l as (select outline_id, step, {', '.join(f"coalesce(array_to_string(list_sort(list(x) filter (k = '{k}')), ','), '') {k}" for k in 'dut')} from g group by 1, 2)
+select st.outline_id, st.step, coalesce(d, '') direct_prerequisites, coalesce(u, '') direct_dependents, coalesce(t, '') transitive_prerequisites from st left join l on st.outline_id = l.outline_id and st.step = l.step""",
+    "proof_paths": f"""with recursive {EDGES}, ends as (select outline_id, step from st where step = conclusion_step),
+pp as (select outline_id, step, 1 len from ends union all select pp.outline_id, pe.prerequisite, len + 1 from pp join pe on pp.outline_id = pe.outline_id and pp.step = pe.step),
+c as (select outline_id, step, count(*) n, max(len) longest from pp group by 1, 2)
+select st.outline_id, st.step, least(coalesce(n, 0), 100) listed, coalesce(longest, 0)::bigint longest, coalesce(n, 0) > 100 truncated, coalesce(n, 0)::varchar paths from st left join c on st.outline_id = c.outline_id and st.step = c.step""",
+    "proof_paths_listed": f"""with recursive {EDGES}, ends as (select outline_id, step from st where step = conclusion_step),
+pp as (select outline_id, step, [step] path from ends union all select pp.outline_id, pe.prerequisite, list_prepend(pe.prerequisite, path) from pp join pe on pp.outline_id = pe.outline_id and pp.step = pe.step)
+select outline_id, step, place, array_to_string(path, '>') path from (select *, row_number() over (partition by outline_id, step order by path) place from pp) where place <= 100""",
     "grouped_edges": f"""with {GROUPS} select prerequisite, "user", sum(occurrences)::bigint occurrences, coalesce(sum(occurrences) filter (layer = 'statement'), 0)::bigint statement_occurrences, coalesce(sum(occurrences) filter (layer = 'proof'), 0)::bigint proof_occurrences from ge group by 1, 2""",
     "group_dependents": f"with {GROUPS} select prerequisite, count(distinct source_id) direct_dependents from ge group by 1",
     "witness_edges": f"""with {GROUPS} select prerequisite, "user", source, target, layer from (select *, row_number() over (partition by prerequisite, "user" order by source, target, layer) k from ge) where k = 1""",

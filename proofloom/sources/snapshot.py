@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 6
@@ -29,43 +31,85 @@ SNAPSHOT = f"schemaVersion bigint, leanVersion string, importedModules array<str
 
 
 def load_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The documents at ``paths`` (each once, in the given order), a row each, with the explicit schema. Raises ValueError for blank or missing paths, another version or no modules."""
+    """The documents at ``paths`` (each once), a row each, with the explicit schema and ``snapshot``, their place in the given order. Raises ValueError for blank or missing paths, another version or no modules;
+    warns where no declaration is found. A document is read by one task; see ``split_snapshot`` for large ones."""
     paths = list(dict.fromkeys(paths))
     if not paths or any(not p.strip() for p in paths):
         raise ValueError("name at least one snapshot, and no blank path")
-    rows = spark.read.schema(SNAPSHOT).json(paths, multiLine=True)
+    rows = reduce(lambda a, b: a.unionByName(b), [spark.read.schema(SNAPSHOT).json(p, multiLine=True).withColumn("snapshot", F.lit(i)) for i, p in enumerate(paths)])
     bad = rows.where(f"schemaVersion is null or schemaVersion <> {SCHEMA_VERSION} or coalesce(size(importedModules), 0) <= 0").select("schemaVersion").head(1)
     if bad:
         raise ValueError(f"schema version must be {SCHEMA_VERSION} with at least one module, found version {bad[0][0]}")
+    if rows.where("size(declarations) > 0").isEmpty():
+        logging.getLogger("proofloom").warning("the snapshots hold no declarations")
     return rows
 
 
+def split_snapshot(path: str, folder: str, lines: int = 100_000) -> None:
+    """Write the document at the local ``path`` as JSON lines below ``folder`` (header.json, declarations/, symbols/), files of ``lines`` lines, which ``load_lines`` reads with one task a piece."""
+    import os
+
+    with open(path, encoding="utf-8") as f:
+        document = json.load(f)
+    for part in ("declarations", "symbols"):
+        os.makedirs(f"{folder}/{part}", exist_ok=True)
+        rows = document.pop(part, None) or []
+        for k in range(0, max(len(rows), 1), lines):
+            with open(f"{folder}/{part}/{k // lines:06d}.json", "w", encoding="utf-8") as out:
+                out.writelines(json.dumps({"decl_id": k + i} | r if part == "declarations" else r) + "\n" for i, r in enumerate(rows[k : k + lines]))
+    with open(f"{folder}/header.json", "w", encoding="utf-8") as out:
+        json.dump(document, out)
+
+
+def load_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(declarations with decl_id, symbols) of a folder that ``split_snapshot`` wrote."""
+    declared = spark.read.schema(f"decl_id bigint, {_DECLARATION[7:-1]}").json(f"{folder}/declarations")
+    return declared.withColumn("snapshot", F.lit(0)), spark.read.schema(_SYMBOL[7:-1]).json(f"{folder}/symbols").withColumn("snapshot", F.lit(0))
+
+
 def declarations(snapshots: DataFrame) -> DataFrame:
-    """One row per declaration; decl_id is its position in the document."""
-    rows = snapshots.select(F.posexplode("declarations").alias("decl_id", "d"))
-    return rows.select(F.col("decl_id").cast("bigint").alias("decl_id"), "d.*")
+    """One row per declaration with its ``snapshot``; decl_id runs on from one document to the next, so it is unique over all."""
+    held = snapshots.select("snapshot", F.coalesce(F.greatest(F.size("declarations"), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
+    before = Window.orderBy("snapshot").rowsBetween(Window.unboundedPreceding, -1)  # a row per document
+    first = held.select("snapshot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = snapshots.select("snapshot", F.posexplode("declarations").alias("_at", "d")).join(F.broadcast(first), "snapshot")
+    return rows.select((F.col("first") + F.col("_at")).cast("bigint").alias("decl_id"), "snapshot", "d.*")
 
 
 def symbols(snapshots: DataFrame) -> DataFrame:
-    return snapshots.select(F.explode("symbols").alias("s")).select("s.*")
+    """One row per symbol and snapshot."""
+    return snapshots.select("snapshot", F.explode("symbols").alias("s")).select("s.*", "snapshot")
+
+
+def graphs_of(declared: DataFrame) -> DataFrame:
+    """decl_id, layer, root, nodes of ``declarations``: the statement graph and, where there is a value, the proof graph, fields named as ``functions.dag`` has them."""
+    d = declared.select("decl_id", F.explode(F.array(F.struct(F.lit("statement").alias("layer"), F.col("typeGraph").alias("g")), F.struct(F.lit("proof").alias("layer"), F.col("valueGraph").alias("g")))).alias("x"))
+    return d.where("x.g is not null").select("decl_id", "x.layer", "x.g.root", F.col("x.g.nodes").cast(_NODES).alias("nodes"))
 
 
 def graphs(snapshots: DataFrame) -> DataFrame:
-    """decl_id, layer, root, nodes: the statement graph and, where there is a value, the proof graph."""
-    d = declarations(snapshots).select("decl_id", F.explode(F.array(F.struct(F.lit("statement").alias("layer"), F.col("typeGraph").alias("g")), F.struct(F.lit("proof").alias("layer"), F.col("valueGraph").alias("g")))).alias("x"))
-    return d.where("x.g is not null").select("decl_id", "x.layer", "x.g.root", "x.g.nodes")
+    return graphs_of(declarations(snapshots))
 
 
 def compare(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
     """``operators.structure.compare_graphs`` of the declarations of ``pairs`` (left_name, right_name, layer)."""
-    from proofloom.functions import dag
     from proofloom.operators import structure
+    from proofloom.plans.corpus import SnapshotCorpus
 
-    names = declarations(snapshots).select("decl_id", "name", "statementDependencies", "proofDependencies")
-    named = graphs(snapshots).join(names.select("decl_id", "name"), "decl_id").select(F.col("name").alias("declaration"), "layer", "root", F.col("nodes").cast(_NODES).alias("nodes"))
-    both = F.explode(F.array(F.struct(F.lit("statement").alias("layer"), F.col("statementDependencies").alias("d")), F.struct(F.lit("proof").alias("layer"), F.col("proofDependencies").alias("d"))))
-    deps = names.select("name", both.alias("x")).select("name", "x.layer", F.array_distinct(F.filter(F.coalesce("x.d", F.array()), lambda v: v.isNotNull())).alias("deps"))
-    return structure.compare_graphs(pairs, dag.node_rows(named, ["declaration", "layer"]), deps)
+    return structure.compare_graphs(pairs, SnapshotCorpus.of(snapshots).features)
+
+
+def merge_snapshots(parts: list[DataFrame]) -> DataFrame:
+    """The documents of several loads in one frame. Raises ValueError if two declare the same name or were made by different versions; a symbol that several have counts once, as the first has it (``merge_symbols``)."""
+    numbered, shift = [], 0
+    for p in parts:
+        numbered.append(p.withColumn("snapshot", F.col("snapshot") + F.lit(shift)))
+        shift += p.count()  # documents
+    merged = reduce(lambda a, b: a.unionByName(b), numbered)
+    if merged.select("schemaVersion", "leanVersion").distinct().count() > 1:
+        raise ValueError("snapshots of different versions")
+    merge_declarations([declarations(merged)])
+    return merged
 
 
 def merge_symbols(parts: list[DataFrame]) -> DataFrame:
@@ -77,10 +121,22 @@ def merge_symbols(parts: list[DataFrame]) -> DataFrame:
 
 
 def merge_declarations(parts: list[DataFrame]) -> DataFrame:
-    """The union of ``parts``; raises ValueError if two have a name in common."""
-    merged = reduce(lambda a, b: a.unionByName(b), parts)
-    twice = merged.groupBy("name").count().where("count > 1").head(1)
+    """The union of ``parts``, whose decl_id is unique in each, with ids that run on from one part to the next; raises ValueError if two rows have a name in common."""
+    merged, shift = [], 0
+    for p in parts:
+        merged.append(p.withColumn("decl_id", (F.col("decl_id") + F.lit(shift)).cast("bigint")))
+        shift += (p.agg(F.max("decl_id")).first()[0] or 0) + 1
+    out = reduce(lambda a, b: a.unionByName(b), merged)
+    twice = out.groupBy("name").count().where("count > 1").head(1)
     if twice:
         raise ValueError(f"declaration {twice[0][0]!r} occurs twice")
-    order = Window.orderBy("name")
-    return merged.withColumn("decl_id", (F.row_number().over(order) - 1).cast("bigint")) if "decl_id" not in merged.columns else merged
+    return out
+
+
+# The kinds of generated declarations in the order in which the first that holds counts, and the flag that tells each.
+GENERATION_KINDS = {"equationTheorem": "is_equation", "matcher": "is_matcher", "noConfusion": "is_no_confusion", "auxiliaryRecursor": "is_auxiliary_recursor", "recursor": "is_recursor", "projection": "is_projection", "internalName": "is_internal_name"}
+
+
+def generation_kind(columns: list[str]) -> Column:
+    """The generation kind that the flags among ``columns`` tell, null for what was written by hand; unknown flags count as false."""
+    return F.coalesce(*[F.when(F.col(flag), F.lit(kind)) for kind, flag in GENERATION_KINDS.items() if flag in columns], F.lit(None).cast("string"))
