@@ -138,7 +138,7 @@ def expression_stats(nodes: DataFrame, keys: list[str]) -> DataFrame:
     )
     unique = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_nodes"))
     binder = F.when(F.col("kind") == "let", F.lit("let")).when(F.col("kind").isin("lambda", "forall"), F.coalesce("binder_info", F.lit("unknown")))
-    named = F.array(F.struct(F.lit("kinds").alias("of"), F.col("kind").alias("k")), F.struct(F.lit("binders"), binder), F.struct(F.lit("constants"), F.when(F.col("kind") == "constant", F.col("name"))))
+    named = F.array(F.struct(F.lit("kinds").alias("of"), F.col("kind").alias("k")), F.struct(F.lit("binders").alias("of"), binder.alias("k")), F.struct(F.lit("constants").alias("of"), F.when(F.col("kind") == "constant", F.col("name")).alias("k")))
     cells = nodes.select(*keys, "multiplicity", F.explode(named).alias("x")).where("x.k is not null").groupBy(*keys, "x.of", "x.k").agg(times.alias("n"), F.count(F.lit(1)).alias("u"))
     entry = F.struct("k", "n")
     part = lambda of: F.map_from_entries(F.collect_list(F.when(F.col("of") == of, entry)))  # noqa: E731 - a graph's own kinds and names

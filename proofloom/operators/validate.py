@@ -63,7 +63,7 @@ def declaration_rules(corpus) -> DataFrame:
     there is a value; every declaration is a symbol and every dependency too."""
     d = corpus.declared
     shape = graph_shape(corpus.graphs.join(d.select("decl_id", "name").hint("merge"), "decl_id").select(F.concat_ws("/", "name", "layer").alias("graph"), "root", "nodes"), "graph")
-    sides = F.explode(F.array(F.struct(F.lit("statement").alias("layer"), F.col("typeStats.nodes").alias("nodes"), F.col("statementDependencies").alias("listed")), F.struct(F.lit("proof"), F.col("valueStats.nodes"), F.col("proofDependencies"))))
+    sides = F.explode(F.array(F.struct(F.lit("statement").alias("layer"), F.col("typeStats.nodes").alias("nodes"), F.col("statementDependencies").alias("listed")), F.struct(F.lit("proof").alias("layer"), F.col("valueStats.nodes").alias("nodes"), F.col("proofDependencies").alias("listed"))))
     told = d.select("decl_id", "name", sides.alias("s")).select("decl_id", "name", "s.*")
     own = corpus.expressions.select("decl_id", "layer", "total_occurrences", F.array_sort(F.transform("constant_frequencies", lambda c: c["name"])).alias("constants"))
     both = told.join(own.hint("merge"), ["decl_id", "layer"])

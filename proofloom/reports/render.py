@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -22,6 +26,26 @@ def csv_lines(columns: list[str], rows: list[Row]) -> str:
     return "".join(",".join(csv_value(v) for v in line) + "\n" for line in [columns, *[[r[c] for c in columns] for r in rows]])
 
 
+def csv_rows(columns: list[str], rows: Iterator[Row]) -> Iterator[str]:
+    """Lines of CSV with a header, one at a time."""
+    yield ",".join(map(csv_value, columns)) + "\n"
+    for r in rows:
+        yield ",".join(csv_value(r[c]) for c in columns) + "\n"
+
+
+def csv_grouped(columns: list[str], rows: Iterator[Row], member: str, as_column: str) -> Iterator[str]:
+    """Like ``csv_rows`` for rows that come group by group: the values of ``member`` of neighbouring rows that agree in all other columns stand in one cell, joined by semicolons."""
+    rest = [c for c in columns if c != member]
+    yield ",".join(map(csv_value, [*rest, as_column])) + "\n"
+    for key, group in groupby(rows, key=lambda r: tuple(r[c] for c in rest)):
+        yield ",".join(map(csv_value, [*key, ";".join(r[member] for r in group)])) + "\n"
+
+
+def json_text(value: object) -> str:
+    """A plain value as one line of JSON."""
+    return json.dumps(value, ensure_ascii=False, default=str)
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """One column ``json``, an object a row; null fields are kept."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA_VERSION = 6
 _NODE = "struct<id:bigint,kind:string,children:array<bigint>,name:string,index:bigint,value:string,binderInfo:string,universeLevels:array<string>>"
@@ -63,8 +64,9 @@ def split_snapshot(path: str, folder: str, lines: int = 100_000) -> None:
 
 def load_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(declarations with decl_id, symbols) of a folder that ``split_snapshot`` wrote."""
-    declared = spark.read.schema(f"decl_id bigint, {_DECLARATION[7:-1]}").json(f"{folder}/declarations")
-    return declared.withColumn("snapshot", F.lit(0)), spark.read.schema(_SYMBOL[7:-1]).json(f"{folder}/symbols").withColumn("snapshot", F.lit(0))
+    declared = T.StructType([T.StructField("decl_id", T.LongType()), *T.DataType.fromDDL(_DECLARATION).fields])
+    read = lambda schema, part: spark.read.schema(schema).json(f"{folder}/{part}").withColumn("snapshot", F.lit(0))
+    return read(declared, "declarations"), read(T.DataType.fromDDL(_SYMBOL), "symbols")
 
 
 def declarations(snapshots: DataFrame) -> DataFrame:

@@ -21,6 +21,10 @@ def rollup(edges: DataFrame, late: str = "7 days") -> DataFrame:
     return once.groupBy(*modules, "layer").agg(F.sum("occurrences").alias("occurrences"))
 
 
-def start(result: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
-    """Run ``result`` over what is there now, into the in-memory table ``name``."""
-    return result.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(result: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """Run ``result`` over what is there now; every batch replaces the Parquet table at ``path`` with the rollup so far, so no result is held by the driver."""
+
+    def write(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

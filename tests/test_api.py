@@ -31,7 +31,7 @@ def test_commands(spark, tmp_path):
     direct = engine.dependencies(name).collect()
     assert direct and all(r.source == name for r in direct)
     reached = engine.dependencies(name, transitive=True).collect()
-    assert reached and engine.path(name, reached[0].name).first().path[0] == name
+    assert reached and engine.path(name, reached[0].name).first().nodes[0] == name
     assert engine.shared_dependencies([name, name]).count() == min(5, len({r.target for r in engine.dependencies(name).collect()}))
     with pytest.raises(KeyError):
         engine.path(name, "no such name")
@@ -39,7 +39,8 @@ def test_commands(spark, tmp_path):
         engine.export("pictures")
     listed = engine.emit(engine.rank("axioms"), "text", "Axioms")
     assert listed.startswith("Axioms\n") and len(listed.splitlines()) == 7
-    assert engine.emit(engine.export("modules"), "csv", export=True).startswith("source_module,")
+    assert len(engine.emit(engine.export("modules"), "csv", export=True).splitlines()) == 1 + engine.modules().count() > engine.limit
+    assert engine.discover("neighbors")["neighbors"].select("query").distinct().count() == 5
     with pytest.raises(ValueError):
         engine.emit(engine.modules(), "csv")
     assert engine.emit(engine.symbol(name), "json").startswith('{"name":')
@@ -51,9 +52,9 @@ def test_commands(spark, tmp_path):
 def test_streamed_rollup_equals_the_batch(spark, tmp_path):
     source = spark.read.parquet(f"{TINY}/dependency_edges.parquet")
     source.repartition(3).write.parquet(f"file://{tmp_path}/in")
-    query = rollup.start(rollup.rollup(rollup.read_edges(spark, f"file://{tmp_path}/in", source.schema)), f"file://{tmp_path}/state", "module_rollup_now")
+    query = rollup.start(rollup.rollup(rollup.read_edges(spark, f"file://{tmp_path}/in", source.schema)), f"file://{tmp_path}/state", f"file://{tmp_path}/out")
     query.awaitTermination(180)
-    got = {(r.source_module, r.target_module, r.layer): r.occurrences for r in spark.table("module_rollup_now").collect()}
+    got = {(r.source_module, r.target_module, r.layer): r.occurrences for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     once = source.where("target is not null").dropDuplicates(["source_id", "target", "layer"]).fillna("<unknown>", ["source_module", "target_module"])
     want = {(r.source_module, r.target_module, r.layer): r["sum(occurrences)"] for r in once.groupBy("source_module", "target_module", "layer").sum("occurrences").collect()}
     assert got == want

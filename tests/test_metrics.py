@@ -66,7 +66,7 @@ def test_snapshots(spark, tmp_path):
         snapshot.load_snapshots(spark, [path("old")])
     with pytest.raises(ValueError):
         snapshot.load_snapshots(spark, [" "])
-    names = lambda n: snapshot.declarations(snapshot.load_snapshots(spark, [path(n)])).select("name", "kind")
+    names = lambda n: snapshot.declarations(snapshot.load_snapshots(spark, [path(n)])).select("decl_id", "name", "kind")
     assert [r.decl_id for r in snapshot.merge_declarations([names("a"), names("b")]).orderBy("name").collect()] == [0, 1, 2]
     with pytest.raises(ValueError, match="occurs twice"):
         snapshot.merge_declarations([names("a"), names("a")])

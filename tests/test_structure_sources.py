@@ -62,6 +62,6 @@ def test_snapshot_comparison_has_all_parts(spark, tmp_path):
     document = {"schemaVersion": 6, "importedModules": ["M"], "symbols": [], "declarations": [{"name": n, "kind": "theorem", "typeGraph": g, "statementDependencies": deps} for n, g, deps in made]}
     (tmp_path / "s.json").write_text(json.dumps(document))
     pairs = spark.createDataFrame([("a", x, "statement") for x in "abcd"], "left_name string, right_name string, layer string")
-    got = {r.right_name: tuple(r)[3:] for r in snapshot.compare(snapshot.load_snapshots(spark, [str(tmp_path / "s.json")]), pairs).collect()}
+    got = {r.right_name: tuple(r)[3:10] for r in snapshot.compare(snapshot.load_snapshots(spark, [str(tmp_path / "s.json")]), pairs).collect()}
     cosine = 4 / (3 * 6) ** 0.5
-    assert got == {"a": (True, True, 1, 1, 1, 1, 1), "b": (False, True, 1, 1, 1, 1, 1), "c": (False, False, 0.5, round(cosine, 6), 0.75, 0.75, round((0.5 + cosine + 1.5) / 4, 6))}
+    assert got == {"a": (True, True, 1, 1, 1, 1, 1), "b": (False, True, 1, 1, 1, 1, 1), "c": (False, False, 1, round(cosine, 6), 0.75, 0.75, round((2.5 + cosine) / 4, 6))}
