@@ -9,11 +9,13 @@ ancestors' own ids where they have one. ``conform`` brings JSON text into the ty
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,11 +183,53 @@ def camel(name: str) -> str:
     return head + "".join(w.capitalize() for w in rest)
 
 
+def _typed(value: object, t: T.DataType, key: Callable[[T.StructField], str]) -> object:
+    """A parsed JSON value as type ``t``, by the rules of ``conform``."""
+    if value is None:
+        return None
+    if isinstance(t, T.ArrayType):
+        return [_typed(v, t.elementType, key) for v in (value if isinstance(value, list) else [value])]
+    if isinstance(t, T.StructType):
+        held = value if isinstance(value, dict) else {}
+        return {f.name: _typed(held.get(key(f)), f.dataType, key) for f in t.fields}
+    if isinstance(t, T.StringType):
+        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    try:
+        if isinstance(t, T.BooleanType):
+            return value if isinstance(value, bool) else {"true": True, "false": False}.get(str(value).strip().lower())
+        if isinstance(t, T.IntegralType):
+            made = None if isinstance(value, (list, dict)) else int(str(value).strip()) if not isinstance(value, (bool, float)) else int(value)
+            return made if made is not None and -(1 << 63) <= made < 1 << 63 else None
+        return None if isinstance(value, (list, dict)) else float(value)
+    except (ValueError, OverflowError):
+        return None
+
+
+def _parsed_apart(schema: T.StructType, key: Callable[[T.StructField], str]):
+    """Texts -> records, of those that are one whole JSON object or list; null stays null."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(schema)
+
+    @F.arrow_udf(schema)
+    def parse(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append(None if t is None else _typed(json.loads(t), schema, key))
+            except ValueError:
+                out.append(None)
+        return pa.array(out, kind)
+
+    return parse
+
+
 def conform(df: DataFrame, text: str, schema: T.StructType, out: str, rename: dict[str, str] | None = None, key_of: Callable[[str], str] = camel) -> DataFrame:
-    """``df`` with the JSON in its column ``text`` as column ``out`` of type ``schema``; rows whose text is not one whole JSON object get null.
+    """``df`` with the JSON in its column ``text`` as column ``out`` of type ``schema``; rows whose text is not one whole JSON object get null (``states`` tells them).
 
     Keys are ``key_of(field)`` unless ``rename`` says otherwise; missing and extra keys are allowed, numbers may be given as text, and a list of
-    one may stand without its brackets. A value that can't become its type is null. An object that names a key twice counts as not whole.
+    one may stand without its brackets. A value that can't become its type is null. Texts are parsed by the engine's own JSON parser; what it refuses (an object that names a key twice, whose
+    last value counts, or a text too large for it) is parsed once more in Arrow batches, so neither size nor repeated keys lose a record.
     Each text is parsed once: the generators keep the optimizer from repeating the parse in filters.
     """
     rename = rename or {}
@@ -209,7 +253,16 @@ def conform(df: DataFrame, text: str, schema: T.StructType, out: str, rename: di
     parsed = df.select("*", F.expr(f"explode(array(try_parse_json(concat('[', `{text}`, ']'))))").alias("__json"))
     typed = build("__json", "$[0]", schema, 1)
     lone = "__json is not null and try_variant_get(__json, '$[1]', 'variant') is null"
-    return parsed.select(*[F.col(f"`{c}`") for c in df.columns], F.expr(f"explode(array(if({lone}, {typed}, null)))").alias(out))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    done = parsed.select(*columns, F.expr(f"explode(array(if({lone}, {typed}, null)))").alias("__typed"), F.expr(f"if(__json is null and trim(`{text}`) <> '', `{text}`, null)").alias("__refused"))
+    return done.select(*columns, F.coalesce("__typed", _parsed_apart(schema, key)("__refused")).alias(out))
+
+
+def states(conformed: DataFrame, text: str, out: str) -> DataFrame:
+    """What became of the texts of ``conform``: (state, texts), the states whole, null, blank and broken (no whole JSON), so that nothing is left out unseen."""
+    blank = F.trim(F.col(text)) == ""
+    state = F.when(F.col(text).isNull(), "null").when(blank, "blank").when(F.col(out).isNull(), "broken").otherwise("whole")
+    return conformed.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("texts"))
 
 
 def prune(schema: T.StructType, paths: list[str]) -> T.StructType:

@@ -86,6 +86,13 @@ def p3_nodes(spark: SparkSession, directory: str) -> DataFrame:
     return _flat(spark, directory, "nodes", ["raw_steps.id", "raw_steps.context.id", "raw_steps.proposition_graph", "raw_steps.context.type_graph"])
 
 
+def p3_payloads(spark: SparkSession, directory: str) -> DataFrame:
+    """How many payloads of raw_outlines are whole, null, blank or broken; copies sent again count each."""
+    schema = spark.read.parquet(f"{directory}/proof_outlines.parquet").schema
+    payloads = table(spark, directory, "raw_outlines").select("payload")
+    return nested.states(nested.conform(payloads, "payload", nested.prune(T.StructType([schema["raw_steps"]]), ["raw_steps.id"]), "_doc", RENAMED), "payload", "_doc")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Distinct links of nodes to existing nodes in the type_graph of a context entry.
 
@@ -103,4 +110,4 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_targets, p2_flags, p3_found, p3_steps, p3_contexts, p3_graphs, p3_nodes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_targets, p2_flags, p3_found, p3_steps, p3_contexts, p3_graphs, p3_nodes, p3_payloads)}

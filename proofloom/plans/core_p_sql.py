@@ -47,7 +47,29 @@ links as (select outline_id, sid, cid, ids, pid, pos, child from tl
 select distinct outline_id, sid step_id, cid context_id, pid parent_node, pos::bigint child_pos, child child_node
 from links where list_contains(ids, child)"""
 
+_FIELDS = "n.id id, n.kind kind, n.name as name, n.var_index var_index, n.value_text value_text, n.binder_info binder_info"
+_JSON_FIELDS = "try_cast(n->>'$.id' as bigint), n->>'$.kind', n->>'$.name', try_cast(n->>'$.index' as bigint), n->>'$.value', n->>'$.binderInfo'"
+
+
+def _nodes_sql() -> str:
+    """Every node of both kinds of graph, of typed and of raw outlines."""
+    keys = "outline_id, p::bigint raw_steps_pos"
+    parts = []
+    for rows, step, ctx, listed, place, fields, alive in (
+        ("ts", "s.id", "null::bigint context_pos, null::varchar context_id", "s.proposition_graph.nodes", "proposition_graph", _FIELDS, "n is not null"),
+        ("js", "try_cast(s->>'$.id' as bigint)", "null::bigint context_pos, null::varchar context_id", _list("(s->'$.propositionGraph.nodes')"), "proposition_graph", _JSON_FIELDS, "json_type(n) <> 'NULL'"),
+        ("tc", "sid", "q::bigint context_pos, c.id context_id", "c.type_graph.nodes", "context.type_graph", _FIELDS, "n is not null"),
+        ("jc", "sid", "q::bigint context_pos, c->>'$.id' context_id", _list("(c->'$.typeGraph.nodes')"), "context.type_graph", _JSON_FIELDS, "json_type(n) <> 'NULL'"),
+    ):
+        source = f"(select * from {rows} where json_type(s) <> 'NULL')" if rows == "js" else rows
+        inner = f"select {keys}, {step} raw_steps_id, {ctx}, {listed} l from {source}"
+        parts.append(f"select outline_id, raw_steps_pos, raw_steps_id, context_pos, context_id, 'raw_steps.{place}.nodes' place, k nodes_pos, {fields} from (select * exclude l, unnest(l) n, (generate_subscripts(l, 1) - 1)::bigint k from ({inner})) where {alive}")
+    return f"with {P3_CONTEXTS} " + " union all ".join(parts)
+
+
 SQL = {
+    "p3_nodes": _nodes_sql(),
+    "p3_payloads": "select case when payload is null then 'null' when trim(payload) = '' then 'blank' when json_valid(payload) and json_type(payload) = 'OBJECT' then 'whole' else 'broken' end state, count(*) texts from raw_outlines group by 1",
     "p2_targets": f"with {EDGES} select is_instance, target, count(*)::bigint edges, sum(occurrences)::bigint occurrences, count(distinct source_id)::bigint sources from edges group by 1, 2",
     "p2_flags": f"with {EDGES} select is_instance, count(*)::bigint edges, sum(occurrences)::bigint occurrences, count(distinct source_id)::bigint sources from edges group by 1",
     "p2_found": f"with {EDGES}, totals as (select is_instance, count(*) n from edges group by 1) "

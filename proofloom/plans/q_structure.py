@@ -310,6 +310,26 @@ s1 as (select outline_id, conclusion_step, pos, s.id step, s.kind kind, s.propos
   [struct_pack(id := try_cast(n->>'$.id' as bigint), kind := n->>'$.kind', children := {_IDS.format(_L("(n->'$.children')"))}, name := n->>'$.name', var_index := try_cast(n->>'$.index' as bigint), value_text := n->>'$.value',
     binder_info := n->>'$.binderInfo', universe_levels := [a->>'$' for a in {_L("(n->'$.universeLevels')")}]) for n in {_L("(s->'$.propositionGraph.nodes')")} if json_type(n) <> 'NULL'] from j0 where json_type(s) <> 'NULL' and try_cast(s->>'$.id' as bigint) is not null),
 st as (select outline_id, conclusion_step, step, kind, proposition, pre, refs, nodes from (select *, row_number() over (partition by outline_id, step order by pos) k from s1) where k = 1)"""
+_NODE = f"""case when json_type(n) = 'NULL' then null else struct_pack(id := try_cast(n->>'$.id' as bigint), kind := n->>'$.kind', children := {_IDS.format(_L("(n->'$.children')"))}, name := n->>'$.name') end"""
+_TYPED = "[case when n is null then null else struct_pack(id := n.id, kind := n.kind, children := n.children, name := n.name) end for n in {}]"
+# gr: every proposition and context type (step, context_id, place, root, nodes); steps and entries count once by their ids
+GRAPHS = f"""{STEPS},
+t1 as (select outline_id, s.id step, s from s0 where s.id is not null qualify row_number() over (partition by outline_id, s.id order by pos) = 1),
+j1 as (select outline_id, try_cast(s->>'$.id' as bigint) step, s from j0 where json_type(s) <> 'NULL' and try_cast(s->>'$.id' as bigint) is not null qualify row_number() over (partition by outline_id, step order by pos) = 1),
+tc as (select outline_id, step, c, place from (select outline_id, step, unnest(s.context) c, generate_subscripts(s.context, 1) place from t1) where c is not null qualify c.id is null or row_number() over (partition by outline_id, step, c.id order by place) = 1),
+jc0 as (select outline_id, step, {_L("(s->'$.context')")} l from j1),
+jc as (select outline_id, step, c, place from (select outline_id, step, unnest(l) c, generate_subscripts(l, 1) place from jc0) where json_type(c) <> 'NULL' qualify c->>'$.id' is null or row_number() over (partition by outline_id, step, c->>'$.id' order by place) = 1),
+gr as materialized (select outline_id, step, null::varchar context_id, 0 place, s.proposition_graph.root root, {_TYPED.format('s.proposition_graph.nodes')} nodes from t1
+  union all select outline_id, step, c.id, place, c.type_graph.root, {_TYPED.format('c.type_graph.nodes')} from tc
+  union all select outline_id, step, null, 0, try_cast(s->>'$.propositionGraph.root' as bigint), [{_NODE} for n in {_L("(s->'$.propositionGraph.nodes')")}] from j1
+  union all select outline_id, step, c->>'$.id', place, try_cast(c->>'$.typeGraph.root' as bigint), [{_NODE} for n in {_L("(c->'$.typeGraph.nodes')")}] from jc)"""
+# nd: the distinct nodes of each graph; ways: a row for every way down from its root
+NODES = f"""{GRAPHS},
+nd as materialized (select outline_id, step, place, context_id, root, n.id id, n.kind kind, n.name as name, n.children children from (select outline_id, step, place, context_id, root, unnest(nodes) n, generate_subscripts(nodes, 1) pos from gr) where n is not null and n.id is not null
+  qualify row_number() over (partition by outline_id, step, place, context_id, n.id order by pos) = 1),
+lk as materialized (select a.outline_id, a.step, a.place, a.context_id, a.id, b.id child from (select outline_id, step, place, context_id, id, unnest(children) c from nd) a join nd b on a.outline_id = b.outline_id and a.step = b.step and a.place = b.place and a.context_id is not distinct from b.context_id and a.c = b.id),
+ways as (select outline_id, step, place, context_id, id, 1 depth from nd where id = root union all
+  select w.outline_id, w.step, w.place, w.context_id, lk.child, w.depth + 1 from ways w join lk on w.outline_id = lk.outline_id and w.step = lk.step and w.place = lk.place and w.context_id is not distinct from lk.context_id and w.id = lk.id where w.depth < 500)"""
 EDGES = f"""{STEPS},
 p0 as (select outline_id, step, unnest(pre) p from st), pe as (select distinct p0.outline_id, p0.p prerequisite, p0.step from p0 join st on p0.outline_id = st.outline_id and p0.p = st.step where p0.p < p0.step)"""
 GROUPS = f"""{BASE},
@@ -370,6 +390,38 @@ left join (select outline_id, prerequisite, count(*) n from pe group by 1, 2) q
 left join (select outline_id, step, count(*) n from cl group by 1, 2) c on c.outline_id = st.outline_id and c.step = st.step""",
     "outline_rarity": f"""with {STEPS}, u as (select outline_id, step, unnest(refs) name from st), m as (select * from u where name is not null and {MEANT.format(n='name')}), c as (select outline_id, name, count(*) n from m group by 1, 2)
 select m.outline_id, m.step step_id, min(c.n) rarity from m join c on m.outline_id = c.outline_id and m.name = c.name group by 1, 2""",
+    "expression_sizes": f"""with recursive {NODES}, w as (select outline_id, step, place, context_id, count(*) n, max(depth) depth from ways group by 1, 2, 3, 4)
+select nd.outline_id, nd.step step_id, nd.context_id, count(*) unique_nodes, coalesce(any_value(w.n), 0) occurrences, any_value(w.depth)::bigint depth, count(distinct nd.name) filter (nd.kind = 'constant') constants
+from nd left join w on nd.outline_id = w.outline_id and nd.step = w.step and nd.place = w.place and nd.context_id is not distinct from w.context_id group by nd.outline_id, nd.step, nd.place, nd.context_id""",
+    "kind_proportions": f"""with recursive {NODES}, w as (select outline_id, step, place, context_id, id, count(*) n from ways group by 1, 2, 3, 4, 5)
+select kind, count(*) unique_nodes, coalesce(sum(n), 0)::bigint occurrences from nd left join w on nd.outline_id = w.outline_id and nd.step = w.step and nd.place = w.place and nd.context_id is not distinct from w.context_id and nd.id = w.id group by 1""",
+    "validation_graphs": f"""with {GRAPHS}, r as (select concat_ws('/', outline_id, step, context_id) subject, unnest([case when coalesce(len(nodes), 0) = 0 then 'graph is empty' end,
+  case when len(nodes) > 0 and (root is null or root < 0 or root >= len(nodes)) then 'root out of bounds' end,
+  case when len([x for x, i in nodes if x.id is null or x.id <> i - 1]) > 0 then 'id differs from position' end,
+  case when len([x for x in nodes if len([c for c in coalesce(x.children, []) if c is null or c < 0 or c >= x.id]) > 0]) > 0 then 'child does not precede its node' end]) rule from gr)
+select rule, subject, null::varchar detail from r where rule is not null""",
+    "validation_steps": f"""with {STEPS},
+vs as (select outline_id, complete, truncation_reason reason, conclusion_step conclusion, [struct_pack(id := x.id, kind := x.kind, path := array_to_string([coalesce(a::varchar, 'n') for a in x.proof_term_path], '.'), ctx := [struct_pack(id := c.id, kind := c.kind) for c in x.context if c is not null],
+    scope := coalesce(x.scope, []), pre := coalesce(x.prerequisite_steps, []), hyp := coalesce(x.hypothesis_references, [])) for x in coalesce(raw_steps, []) if x is not null] s from po
+  union all select outline_id, try_cast(j->>'$.complete' as boolean), j->>'$.truncationReason', conclusion_step, [struct_pack(id := try_cast(x->>'$.id' as bigint), kind := x->>'$.kind', path := array_to_string([coalesce(try_cast(a->>'$' as bigint)::varchar, 'n') for a in {_L("(x->'$.proofTermPath')")}], '.'),
+    ctx := [struct_pack(id := c->>'$.id', kind := c->>'$.kind') for c in {_L("(x->'$.context')")} if json_type(c) <> 'NULL'], scope := coalesce([a->>'$' for a in {_L("(x->'$.scope')")}], []),
+    pre := coalesce({_IDS.format(_L("(x->'$.prerequisiteSteps')"))}, []), hyp := coalesce([a->>'$' for a in {_L("(x->'$.hypothesisReferences')")}], [])) for x in coalesce(steps, []) if json_type(x) <> 'NULL'] from rl),
+vst as (select outline_id, unnest(s) x, s from vs), lone as (select outline_id, complete, reason, conclusion, s from vs),
+rules as (
+  select 'complete exactly without a reason' rule, outline_id from lone where complete is not null and complete <> (reason is null)
+  union all select 'step listed twice', outline_id from lone where len(s) <> len(list_distinct([coalesce(x.id::varchar, '') for x in s]))
+  union all select 'step ids are not 0, 1, ... in order', outline_id from lone where len([x for x, i in s if x.id is null or x.id <> i - 1]) > 0
+  union all select 'two steps at one place of the term', outline_id from lone where len(s) <> len(list_distinct([coalesce(x.path, chr(1)) for x in s]))
+  union all select distinct 'context id listed twice', outline_id from vst where len(coalesce(x.ctx, [])) <> len(list_distinct([coalesce(c.id, chr(1)) for c in coalesce(x.ctx, [])]))
+  union all select distinct 'scope differs from the context', outline_id from vst where x.scope <> [c.id for c in coalesce(x.ctx, [])]
+  union all select distinct 'prerequisite does not precede its step', outline_id from vst where len([p for p in x.pre if p is null or p >= x.id]) > 0
+  union all select distinct 'prerequisite listed twice', outline_id from vst where len(x.pre) <> len(list_distinct([coalesce(p::varchar, '') for p in x.pre]))
+  union all select distinct 'prerequisite in a scope apart', a.outline_id from (select outline_id, x, s, unnest(x.pre) p from vst) a where len([y for y in s if y.id = p]) > 0
+    and x.scope[1:least(len(x.scope), len([y for y in s if y.id = p][1].scope))] <> [y for y in s if y.id = p][1].scope[1:least(len(x.scope), len([y for y in s if y.id = p][1].scope))]
+  union all select distinct 'hypothesis is no assumption of the context', outline_id from vst where len([h for h in x.hyp if h is not null and len([c for c in coalesce(x.ctx, []) if c.id = h and c.kind = 'assumption']) = 0]) > 0
+  union all select 'conclusion names no step of that kind', outline_id from lone where conclusion is not null and len([x for x in s if x.id = conclusion and x.kind = 'conclusion']) = 0
+  union all select 'complete without a conclusion', outline_id from lone where complete and len(s) > 0 and conclusion is null)
+select rule, outline_id::varchar subject, null::varchar detail from rules""",
     "validation_violations": f"""with {BASE}, de as (select distinct source_id, source, target, layer, occurrences from dependency_edges where target is not null)
 select 'declaration name occurs twice' rule, name subject, count(*)::varchar detail from d group by name having count(*) > 1
 union all select 'symbol name occurs twice', name, count(*)::varchar from sym group by name having count(*) > 1

@@ -65,3 +65,54 @@ def test_entries_with_clashing_names(spark):
     tables = inline_schema(df.schema, "record", ["key"])
     assert flatten(df, tables, "parts", ["key"]).count() == 1
     assert flatten(df, tables, "record", ["key"]).select(F.col("key")).first().key == 1
+
+
+def test_repeated_keys_and_refused_texts_are_kept(spark):
+    from pyspark.sql import types as T
+
+    from proofloom.operators import nested
+
+    schema = T.StructType.fromDDL("id bigint, tags array<string>, items array<struct<n: bigint, ok: boolean, w: double>>")
+    texts = ['{"id": 1, "id": "2", "tags": "one", "items": {"n": "7", "ok": "true", "w": "x"}, "more": {"n": 1, "n": 2}}', '{"id": 3, "id": 4} x', '{"id": 5', "", " ", None, '{"id": 6, "tags": [1, null, {"a": 1}]}', '{"id": 1, "id": null, "tags": [], "items": [null, {"n": 1.0}]}', "[1]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, payload string")
+    made = nested.conform(df, "payload", schema, "doc")
+    got = {r.k: r.doc.asDict(recursive=True) if r.doc else None for r in made.collect()}
+    assert got[0] == {"id": 2, "tags": ["one"], "items": [{"n": 7, "ok": True, "w": None}]}
+    assert got[6] == {"id": 6, "tags": ["1", None, '{"a":1}'], "items": None}
+    assert got[7] == {"id": None, "tags": [], "items": [None, {"n": 1, "ok": None, "w": None}]}
+    assert all(got[k] is None for k in (1, 2, 3, 4, 5))
+    states = {r.state: r.texts for r in nested.states(made, "payload", "doc").collect()}
+    assert states["null"] == 1 and states["blank"] == 2 and states["broken"] == 2 and sum(states.values()) == len(texts)
+
+
+def test_a_text_too_large_for_the_parser(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from proofloom.operators import nested
+
+    df = spark.range(1).select("id", F.concat(F.lit('{"id": 9, "tags": ["'), F.repeat(F.lit("abcdefghij"), 14_000_000), F.lit('"]}')).alias("payload"))
+    made = nested.conform(df, "payload", T.StructType.fromDDL("id bigint"), "doc")
+    assert made.select("doc.id").first().id == 9
+
+
+def test_table_names_do_not_hang_on_the_projection(spark):
+    from pyspark.sql import types as T
+
+    from proofloom.operators import nested
+
+    node, schema = "array<struct<id: bigint>>", None
+    schema = T.StructType.fromDDL(f"k bigint, steps array<struct<a: struct<root: bigint, nodes: {node}>, b: struct<root: bigint, nodes: {node}>>>")
+    whole = nested.inline_schema(schema, "record", ["k"])
+    pruned = nested.prune(schema, ["k", "steps.a.nodes.id"])
+    kept = nested.keep_known(whole, pruned)
+    assert set(kept) == set(whole) and len(kept["nodes"].occurrences) == 1 and list(kept["nodes"].columns) == ["id"]
+    df = spark.createDataFrame([(1, [((5, [(1,), (2,)]), None)])], schema).select("k", F_expr("transform(steps, s -> named_struct('a', named_struct('nodes', s.a.nodes)))"))
+    rows = nested.flatten(df, nested.keep_known(whole, df.schema), "nodes", ["k"], {})
+    assert sorted(r.id for r in rows.collect()) == [1, 2]
+
+
+def F_expr(text):
+    from pyspark.sql import functions as F
+
+    return F.expr(text).alias("steps")
