@@ -6,7 +6,8 @@ round ends in a written table, so plans stay short and a lost executor costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from proofloom.operators.skew import number_within_keys
@@ -21,6 +22,13 @@ def _folded(seen: DataFrame, level: DataFrame, depth: int) -> DataFrame:
     return cut(both, "seen") if depth % 8 == 0 else both
 
 
+def _placed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hashed and sorted by ``key`` once and kept on the executors' disks: loops that join it round after round move only the other side. A lost executor's part is made again from
+    the written table below. The caller gives it back with ``unpersist``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key).persist(StorageLevel.DISK_ONLY)
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     """Distinct undirected neighbours without loops, each pair in both directions."""
     pairs = links.where("src <> dst").select("src", "dst")
@@ -109,13 +117,18 @@ def pagerank(nodes: DataFrame, links: DataFrame, weighted: bool = False, damping
     # a node without links out sends its rank to the row with id null, which everyone shares
     dangling = nodes.select("id").join(steps.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
     steps = cut(steps.union(dangling.select(F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(1.0).alias("share"))), "steps")
-    ids = cut(nodes.select("id"), "ids")
-    ranks = cut(ids.withColumn("rank", F.lit(1.0 / n)), "ranks")
-    for _ in range(rounds):
-        got = cut(ranks.join(steps, ranks["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got")), "got")
-        spread = got.where("id is null").agg(F.sum("got")).first()[0] or 0.0
-        ranks = ids.join(got, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(spread / n))).alias("rank"))
-    return cut(ranks, "ranks")
+    ids, steps = _placed(cut(nodes.select("id"), "ids"), "id"), _placed(steps, "src")
+    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    for k in range(rounds):
+        lost = Observation()
+        sent = ranks.join(steps.hint("merge"), ranks["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        got = cut(sent.observe(lost, F.sum(F.when(F.col("id").isNull(), F.col("got"))).alias("spread")), f"got-{k}")
+        spread = lost.get["spread"] or 0.0
+        ranks = ids.join(got.hint("merge"), "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(spread / n))).alias("rank"))
+    out = cut(ranks, "ranks")
+    ids.unpersist()
+    steps.unpersist()
+    return out
 
 
 def betweenness(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -152,12 +165,13 @@ def betweenness(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def weak_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id of the undirected component. Labels take the neighbours' minimum, then jump to their label's label."""
-    near = cut(both_ways(links), "near")
+    near = _placed(cut(both_ways(links), "near"), "dst")
     labels = cut(nodes.select("id", F.col("id").alias("component")), "labels")
     while True:
         least = near.join(labels, near["dst"] == labels["id"]).groupBy(near["src"].alias("id")).agg(F.min("component").alias("least"))
         taken = cut(labels.join(least, "id", "left").select("id", "component", F.least("component", F.coalesce("least", "component")).alias("now")), "labels")
         if taken.where("now <> component").isEmpty():
+            near.unpersist()
             return labels
         jump = taken.select(F.col("id").alias("now"), F.col("now").alias("further"))
         labels = cut(taken.join(jump, "now").select("id", F.col("further").alias("component")), "labels")
@@ -213,15 +227,16 @@ def _inside(steps: DataFrame, left: DataFrame) -> DataFrame:
 
 def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(id, label): synchronous, at most ``rounds`` rounds; the most frequent label among the neighbours, ties to the smallest; a node without neighbours keeps its own id."""
-    near = cut(both_ways(links), "near")
+    near = _placed(cut(both_ways(links), "near"), "dst")
     labels = cut(nodes.select("id", F.col("id").alias("label")), "labels")
     for _ in range(rounds):
         votes = near.join(labels, near["dst"] == labels["id"]).groupBy(near["src"].alias("id"), "label").agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("label")).alias("least"))).alias("b")).select("id", (-F.col("b.least")).alias("now"))
         changed = cut(labels.join(best, "id", "left").select("id", "label", F.coalesce("now", "label").alias("now")), "labels")
-        if changed.where("now <> label").isEmpty():
-            return changed.select("id", F.col("now").alias("label"))
         labels = changed.select("id", F.col("now").alias("label"))
+        if changed.where("now <> label").isEmpty():
+            break
+    near.unpersist()
     return labels
 
 
