@@ -46,17 +46,11 @@ def _order(nodes: dict[int, dict], start: int | None = None) -> tuple[list[int],
 
 
 def _digest(node: dict, children: list[str], alpha: bool) -> str:
-    h = hashlib.blake2b(digest_size=16)
+    """MD5 over the node's fields, each with its length in bytes, and its children's digests."""
     name = None if alpha and node["kind"] in BINDERS else node["name"]
-    parts = [node["kind"], name, node["var_index"], node["value_text"], node["binder_info"], *(node["universe_levels"] or [])]
-    for p in parts:
-        text = b"" if p is None else str(p).encode()
-        h.update(b"-" if p is None else b"%d:" % len(text))
-        h.update(text)
-    h.update(b"|%d|" % len(children))
-    for c in children:
-        h.update(c.encode())
-    return h.hexdigest()
+    told = [node["kind"], name, node["var_index"], node["value_text"], node["binder_info"], *(node["universe_levels"] or [])]
+    texts = ["-" if p is None else f"{len(str(p).encode())}:{p}" for p in told]
+    return hashlib.md5("".join([*texts, f"|{len(children)}|", *children]).encode(), usedforsecurity=False).hexdigest()
 
 
 def analyse(root: int | None, listed: list[dict] | None) -> list[dict]:

@@ -216,8 +216,7 @@ class Engine:
     def witnesses(self, prerequisite: str, user: str, limit: int = 3) -> DataFrame:
         """(direction, nodes, layers, occurrences): what connects two end points. The first edge between their members names the two declarations; then the shortest way from the user's down to the
         prerequisite's, and, with a limit above 1, the other way round if there is one. KeyError if no edge connects them."""
-        ends, met = self.endpoints(technical=True)
-        del ends
+        _, met = self.endpoints(technical=True)
         first = groups.first_witnesses(met.where((F.col("prerequisite") == prerequisite) & (F.col("user") == user))).first()
         if first is None:
             raise KeyError(f"no dependency connects {prerequisite!r} and {user!r}")

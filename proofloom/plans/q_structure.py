@@ -310,26 +310,56 @@ s1 as (select outline_id, conclusion_step, pos, s.id step, s.kind kind, s.propos
   [struct_pack(id := try_cast(n->>'$.id' as bigint), kind := n->>'$.kind', children := {_IDS.format(_L("(n->'$.children')"))}, name := n->>'$.name', var_index := try_cast(n->>'$.index' as bigint), value_text := n->>'$.value',
     binder_info := n->>'$.binderInfo', universe_levels := [a->>'$' for a in {_L("(n->'$.universeLevels')")}]) for n in {_L("(s->'$.propositionGraph.nodes')")} if json_type(n) <> 'NULL'] from j0 where json_type(s) <> 'NULL' and try_cast(s->>'$.id' as bigint) is not null),
 st as (select outline_id, conclusion_step, step, kind, proposition, pre, refs, nodes from (select *, row_number() over (partition by outline_id, step order by pos) k from s1) where k = 1)"""
-_NODE = f"""case when json_type(n) = 'NULL' then null else struct_pack(id := try_cast(n->>'$.id' as bigint), kind := n->>'$.kind', children := {_IDS.format(_L("(n->'$.children')"))}, name := n->>'$.name') end"""
-_TYPED = "[case when n is null then null else struct_pack(id := n.id, kind := n.kind, children := n.children, name := n.name) end for n in {}]"
-# gr: every proposition and context type (step, context_id, place, root, nodes); steps and entries count once by their ids
+_NODE = f"""case when json_type(n) = 'NULL' then null else struct_pack(id := try_cast(n->>'$.id' as bigint), kind := n->>'$.kind', children := {_IDS.format(_L("(n->'$.children')"))}, name := n->>'$.name', var_index := try_cast(n->>'$.index' as bigint),
+  value_text := n->>'$.value', binder_info := n->>'$.binderInfo', universe_levels := [a->>'$' for a in {_L("(n->'$.universeLevels')")}]) end"""
+_TYPED = "[case when n is null then null else struct_pack(id := n.id, kind := n.kind, children := n.children, name := n.name, var_index := n.var_index, value_text := n.value_text, binder_info := n.binder_info, universe_levels := n.universe_levels) end for n in {}]"
+# gr: every proposition and context type (step, context_id, place, root, nodes) with a key gk; steps and entries count once by their ids
 GRAPHS = f"""{STEPS},
 t1 as (select outline_id, s.id step, s from s0 where s.id is not null qualify row_number() over (partition by outline_id, s.id order by pos) = 1),
 j1 as (select outline_id, try_cast(s->>'$.id' as bigint) step, s from j0 where json_type(s) <> 'NULL' and try_cast(s->>'$.id' as bigint) is not null qualify row_number() over (partition by outline_id, step order by pos) = 1),
 tc as (select outline_id, step, c, place from (select outline_id, step, unnest(s.context) c, generate_subscripts(s.context, 1) place from t1) where c is not null qualify c.id is null or row_number() over (partition by outline_id, step, c.id order by place) = 1),
 jc0 as (select outline_id, step, {_L("(s->'$.context')")} l from j1),
 jc as (select outline_id, step, c, place from (select outline_id, step, unnest(l) c, generate_subscripts(l, 1) place from jc0) where json_type(c) <> 'NULL' qualify c->>'$.id' is null or row_number() over (partition by outline_id, step, c->>'$.id' order by place) = 1),
-gr as materialized (select outline_id, step, null::varchar context_id, 0 place, s.proposition_graph.root root, {_TYPED.format('s.proposition_graph.nodes')} nodes from t1
+g0 as (select outline_id, step, null::varchar context_id, 0 place, s.proposition_graph.root root, {_TYPED.format('s.proposition_graph.nodes')} nodes from t1
   union all select outline_id, step, c.id, place, c.type_graph.root, {_TYPED.format('c.type_graph.nodes')} from tc
   union all select outline_id, step, null, 0, try_cast(s->>'$.propositionGraph.root' as bigint), [{_NODE} for n in {_L("(s->'$.propositionGraph.nodes')")}] from j1
-  union all select outline_id, step, c->>'$.id', place, try_cast(c->>'$.typeGraph.root' as bigint), [{_NODE} for n in {_L("(c->'$.typeGraph.nodes')")}] from jc)"""
-# nd: the distinct nodes of each graph; ways: a row for every way down from its root
+  union all select outline_id, step, c->>'$.id', place, try_cast(c->>'$.typeGraph.root' as bigint), [{_NODE} for n in {_L("(c->'$.typeGraph.nodes')")}] from jc),
+gr as materialized (select *, concat_ws('/', outline_id, step, place) gk from g0)"""
+# nd: the distinct nodes of each graph; lk: their children that are there; ways: a row for every way down from a root
 NODES = f"""{GRAPHS},
-nd as materialized (select outline_id, step, place, context_id, root, n.id id, n.kind kind, n.name as name, n.children children from (select outline_id, step, place, context_id, root, unnest(nodes) n, generate_subscripts(nodes, 1) pos from gr) where n is not null and n.id is not null
-  qualify row_number() over (partition by outline_id, step, place, context_id, n.id order by pos) = 1),
-lk as materialized (select a.outline_id, a.step, a.place, a.context_id, a.id, b.id child from (select outline_id, step, place, context_id, id, unnest(children) c from nd) a join nd b on a.outline_id = b.outline_id and a.step = b.step and a.place = b.place and a.context_id is not distinct from b.context_id and a.c = b.id),
-ways as (select outline_id, step, place, context_id, id, 1 depth from nd where id = root union all
-  select w.outline_id, w.step, w.place, w.context_id, lk.child, w.depth + 1 from ways w join lk on w.outline_id = lk.outline_id and w.step = lk.step and w.place = lk.place and w.context_id is not distinct from lk.context_id and w.id = lk.id where w.depth < 500)"""
+nd as materialized (select gk, outline_id, step, place, context_id, root, n.id id, n.kind kind, n.name as name, n.var_index var_index, n.value_text value_text, n.binder_info binder_info, n.universe_levels universe_levels, n.children children
+  from (select gk, outline_id, step, place, context_id, root, unnest(nodes) n, generate_subscripts(nodes, 1) pos from gr) where n is not null and n.id is not null qualify row_number() over (partition by gk, n.id order by pos) = 1),
+lk as materialized (select a.gk, a.id, b.id child, a.pos from (select gk, id, unnest(children) c, generate_subscripts(children, 1) pos from nd) a join nd b on a.gk = b.gk and a.c = b.id),
+ways as (select gk, id, 1 depth from nd where id = root union all select w.gk, lk.child, w.depth + 1 from ways w join lk on w.gk = lk.gk and w.id = lk.id where w.depth < 500)"""
+
+
+def _digests(levels: int = 40) -> str:
+    """``dg`` (gk, id, exact, alpha, size, depth) of every node, from the leaves up, and ``node``, these with what else a node has: multiplicity, is_root, declaration."""
+    fields = lambda name: "''" + "".join(f" || coalesce(octet_length(encode(({f})::varchar))::varchar || ':' || ({f})::varchar, '-')" for f in ("nd.kind", name, "nd.var_index", "nd.value_text", "nd.binder_info"))
+    tail = " || coalesce(array_to_string([coalesce(octet_length(encode(u))::varchar || ':' || u, '-') for u in nd.universe_levels], ''), '') || '|' || count(k.child) || '|' || coalesce(string_agg(d.{} , '' order by k.pos), '')"
+    alpha = "case when nd.kind in ('lambda', 'forall', 'let') then null else nd.name end"
+    own = f"md5(any_value({fields('nd.name')}){tail.format('exact')}) exact, md5(any_value({fields(alpha)}){tail.format('alpha')}) alpha, 1 + coalesce(sum(d.size), 0) size, 1 + coalesce(max(d.depth), 0) depth"
+    own = own.replace("[coalesce(octet_length(encode(u))::varchar || ':' || u, '-') for u in nd.universe_levels]", "[coalesce(octet_length(encode(u))::varchar || ':' || u, '-') for u in any_value(nd.universe_levels)]")
+    parts = ["hp as (select gk, id, 0 h from nd where not exists (select 1 from lk where lk.gk = nd.gk and lk.id = nd.id) union select lk.gk, lk.id, h + 1 from hp join lk on lk.gk = hp.gk and lk.child = hp.id)", "ht as materialized (select gk, id, max(h) h from hp group by 1, 2)", "a0 as materialized (select null::varchar gk, null::bigint id, null::varchar exact, null::varchar alpha, null::bigint size, null::bigint depth where false)"]
+    for k in range(levels):
+        parts.append(f"m{k} as materialized (select nd.gk, nd.id, {own} from nd join ht on ht.gk = nd.gk and ht.id = nd.id and ht.h = {k} left join lk k on k.gk = nd.gk and k.id = nd.id left join a{k} d on d.gk = k.gk and d.id = k.child group by nd.gk, nd.id)")
+        parts.append(f"a{k + 1} as materialized (select * from a{k} union all select gk, id, exact, alpha, size::bigint, depth::bigint from m{k})")
+    names = """ow as (select outline_id, declaration from po union all select r.outline_id, coalesce(d.name, 'outline:' || r.outline_id) from (select outline_id, max(decl_id) decl_id from raw_outlines group by 1) r
+  left join (select decl_id, arg_max(name, received_at) as name from declarations group by 1) d on r.decl_id = d.decl_id)"""
+    node = f"node as materialized (select nd.*, ow.declaration, nd.id is not distinct from nd.root is_root, a.exact, a.alpha, a.size, a.depth, coalesce(w.n, 0) multiplicity from nd join a{levels} a on a.gk = nd.gk and a.id = nd.id join ow on ow.outline_id = nd.outline_id left join (select gk, id, count(*) n from ways group by 1, 2) w on w.gk = nd.gk and w.id = nd.id)"
+    return ", ".join([*parts, names, node])
+
+
+DIGESTS = f"{NODES}, {_digests()}"
+REPEATED = f"""{DIGESTS}, pr as (select exact fingerprint, declaration, sum(multiplicity)::bigint n, any_value(size) size, any_value(depth) depth from node where size >= 4 group by 1, 2),
+rp as (select fingerprint, any_value(size) size, any_value(depth) depth, count(*) declarations, sum(n)::bigint occurrences from pr group by 1 having count(*) >= 2)"""
+
+
+def _duplicates_sql(mode: str) -> str:
+    return f"""with recursive {DIGESTS}, r as (select {mode} fingerprint, declaration, count(*) n, any_value(size) size, any_value(depth) depth from node where is_root group by 1, 2)
+select fingerprint, any_value(size) size, any_value(depth) depth, count(*) declarations, sum(n)::bigint occurrences, min(declaration) first_declaration from r group by 1 having count(*) >= 2"""
+
+
 EDGES = f"""{STEPS},
 p0 as (select outline_id, step, unnest(pre) p from st), pe as (select distinct p0.outline_id, p0.p prerequisite, p0.step from p0 join st on p0.outline_id = st.outline_id and p0.p = st.step where p0.p < p0.step)"""
 GROUPS = f"""{BASE},
@@ -337,8 +367,19 @@ gr as (select kind, type_text, count(*) n, arg_min(name, (octet_length(encode(ty
 ends as (select v.decl_id, v.name, v.kind, case when n > 1 then 'group:' || rep else 'decl:' || v.name end endpoint, coalesce(n, 1) n from v left join gr on v.kind = gr.kind and v.type_text = gr.type_text),
 ge as (select f.*, u.endpoint "user", p.endpoint prerequisite from f join ends u on f.source_id = u.decl_id join ends p on f.target_id = p.decl_id where u.endpoint <> p.endpoint)"""
 MEANT = "not starts_with({n}, 'inst') and not contains({n}, '.to') and not contains({n}, '.match_') and {n} not in (" + ", ".join(f"'{x}'" for x in proof.PLUMBING) + ")"
+# sc: the conclusion and all it rests on; vi: what an outline of up to 240 steps shows; wy: the ways between two shown steps over hidden ones
+OUTLINE = f"""{EDGES}, cl as (select outline_id, step, prerequisite a from pe union select cl.outline_id, cl.step, pe.prerequisite from cl join pe on cl.outline_id = pe.outline_id and cl.a = pe.step),
+sc as (select outline_id, step from st where step = conclusion_step union select cl.outline_id, a from cl join st on cl.outline_id = st.outline_id and cl.step = st.step where st.step = st.conclusion_step),
+vi as (select sc.outline_id, sc.step, kind, proposition from sc join st on sc.outline_id = st.outline_id and sc.step = st.step
+  where st.step = conclusion_step or kind in ('localFact', 'branchConclusion') or kind = 'namedApplication' and len([x for x in refs if x is not null and {MEANT.format(n='x')}]) > 0),
+wy as (select outline_id, step source, step here, [step] path from vi union all select wy.outline_id, source, pe.step, list_append(path, pe.step) from wy join pe on wy.outline_id = pe.outline_id and wy.here = pe.prerequisite
+  join sc on sc.outline_id = pe.outline_id and sc.step = pe.step left join vi on vi.outline_id = wy.outline_id and vi.step = wy.here where wy.here = wy.source or vi.step is null),
+oe as (select wy.outline_id, source, here target, count(*) paths, max(len(path))::bigint longest, arg_min(array_to_string(path, '>'), list_reverse(path)) sample from wy join vi on vi.outline_id = wy.outline_id and vi.step = here where here <> source group by 1, 2, 3)"""
 
 SQL = {
+    "proof_outline": f"with recursive {OUTLINE} select outline_id, step, kind, proposition, count(*) over (partition by outline_id) candidates from vi",
+    "proof_outline_edges": f"with recursive {OUTLINE} select outline_id, source, target, paths, longest, sample from oe",
+    "proof_edge_totals": f"with recursive {OUTLINE} select outline_id, count(*) as edges, sum(paths)::bigint paths, max(longest) longest from oe group by 1",
     "shared_dependencies": f"""with {BASE}, p as (select distinct comparison_id, left_name, right_name from declaration_comparisons), s as (select source, list_sort(list(distinct target)) t from f group by 1),
 i as (select comparison_id, list_sort(list_intersect(a.t, b.t)) t from p join s a on p.left_name = a.source join s b on p.right_name = b.source)
 select comparison_id, len(t)::bigint "shared", array_to_string(t, ';') targets from i""",
@@ -390,11 +431,17 @@ left join (select outline_id, prerequisite, count(*) n from pe group by 1, 2) q
 left join (select outline_id, step, count(*) n from cl group by 1, 2) c on c.outline_id = st.outline_id and c.step = st.step""",
     "outline_rarity": f"""with {STEPS}, u as (select outline_id, step, unnest(refs) name from st), m as (select * from u where name is not null and {MEANT.format(n='name')}), c as (select outline_id, name, count(*) n from m group by 1, 2)
 select m.outline_id, m.step step_id, min(c.n) rarity from m join c on m.outline_id = c.outline_id and m.name = c.name group by 1, 2""",
-    "expression_sizes": f"""with recursive {NODES}, w as (select outline_id, step, place, context_id, count(*) n, max(depth) depth from ways group by 1, 2, 3, 4)
-select nd.outline_id, nd.step step_id, nd.context_id, count(*) unique_nodes, coalesce(any_value(w.n), 0) occurrences, any_value(w.depth)::bigint depth, count(distinct nd.name) filter (nd.kind = 'constant') constants
-from nd left join w on nd.outline_id = w.outline_id and nd.step = w.step and nd.place = w.place and nd.context_id is not distinct from w.context_id group by nd.outline_id, nd.step, nd.place, nd.context_id""",
-    "kind_proportions": f"""with recursive {NODES}, w as (select outline_id, step, place, context_id, id, count(*) n from ways group by 1, 2, 3, 4, 5)
-select kind, count(*) unique_nodes, coalesce(sum(n), 0)::bigint occurrences from nd left join w on nd.outline_id = w.outline_id and nd.step = w.step and nd.place = w.place and nd.context_id is not distinct from w.context_id and nd.id = w.id group by 1""",
+    "expression_sizes": f"""with recursive {NODES}, w as (select gk, count(*) n, max(depth) depth from ways group by 1)
+select any_value(outline_id) outline_id, any_value(step) step_id, any_value(context_id) context_id, count(*) unique_nodes, coalesce(any_value(w.n), 0) occurrences, any_value(w.depth)::bigint depth, count(distinct nd.name) filter (nd.kind = 'constant') constants
+from nd left join w on nd.gk = w.gk group by nd.gk""",
+    "kind_proportions": f"""with recursive {NODES}, w as (select gk, id, count(*) n from ways group by 1, 2)
+select kind, count(*) unique_nodes, coalesce(sum(n), 0)::bigint occurrences from nd left join w on nd.gk = w.gk and nd.id = w.id group by 1""",
+    "duplicates_exact": _duplicates_sql("exact"),
+    "duplicates_alpha": _duplicates_sql("alpha"),
+    "repeated_structures": f"with recursive {REPEATED} select * from rp",
+    "repeated_for_declaration": f"with recursive {REPEATED} select declaration, count(*) as \"groups\", max(pr.size) largest from pr join rp on pr.fingerprint = rp.fingerprint group by 1",
+    "equivalence_graphs": f"""with recursive {DIGESTS}, e as (select st.kind step_kind, alpha, declaration, st.proposition from node join st on st.outline_id = node.outline_id and st.step = node.step where is_root and place = 0 and st.step = conclusion_step)
+select alpha group_id, count(distinct declaration) members, arg_min(declaration, (octet_length(encode(proposition)), declaration)) representative from e group by step_kind, alpha having count(distinct declaration) > 1""",
     "validation_graphs": f"""with {GRAPHS}, r as (select concat_ws('/', outline_id, step, context_id) subject, unnest([case when coalesce(len(nodes), 0) = 0 then 'graph is empty' end,
   case when len(nodes) > 0 and (root is null or root < 0 or root >= len(nodes)) then 'root out of bounds' end,
   case when len([x for x, i in nodes if x.id is null or x.id <> i - 1]) > 0 then 'id differs from position' end,
