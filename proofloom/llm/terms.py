@@ -108,10 +108,10 @@ def term_counts(rows: DataFrame, leaf_bytes: int = LEAF_BYTES, bits: int | None
     spilled = cut(named.withColumn("_radix", key).withColumn("_bytes", size.cast("bigint")), "radix")
     whole = spilled.agg(F.sum("_bytes")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * -(-whole // leaf_bytes))
-    levels, last, stuck = _leaves(spilled, bits or min(TERM_BITS, math.ceil(math.log2(parts)) + 5), leaf_bytes)
-    depths = [b for b, _ in levels[1:]] + [last] if levels else []
-    placed = spilled.withColumn("_leaf", _prefix(levels[0][0] if levels else (bits or min(TERM_BITS, math.ceil(math.log2(parts)) + 5)))).withColumn("split", F.lit(False))
-    for (_, over), deeper in zip(levels, depths):
+    first = bits or min(TERM_BITS, math.ceil(math.log2(parts)) + 5)
+    levels, last, stuck = _leaves(spilled, first, leaf_bytes)
+    placed = spilled.withColumn("_leaf", _prefix(first)).withColumn("split", F.lit(False))
+    for (_, over), deeper in zip(levels, [*[b for b, _ in levels[1:]], last]):
         hit = F.broadcast(over.select(F.col("_prefix").alias("_leaf"), F.lit(True).alias("_hit")))  # see _oversized
         placed = placed.join(hit, "_leaf", "left").withColumn("_leaf", F.when(F.col("_hit"), _prefix(deeper)).otherwise(F.col("_leaf")))
         placed = placed.withColumn("split", F.col("split") | (F.coalesce("_hit", F.lit(False)) & F.lit(deeper > TERM_BITS))).drop("_hit")
