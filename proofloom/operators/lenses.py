@@ -99,3 +99,10 @@ def neighbor_reason(rows: DataFrame) -> DataFrame:
     """``rows`` of ``operators.structure.graph_neighbours``."""
     claim = F.when(F.col("exact_equal"), "exactly equal expressions").when(F.col("alpha_equivalent"), "expressions equal up to the names of binders").otherwise("neither exact nor alpha equality")
     return rows.withColumn("reason", F.format_string("closest is %s with a combined similarity of %.3f; %s", "name", "combined_score", claim))
+
+
+def influence_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What adding to a corpus, duplicates for instance, does to its theorems' influence: (name, layer, reachable_before, reachable_after, change), of all names that either report of ``influence`` has; 0 where one lacks it."""
+    side = lambda df, n: df.select("name", "layer", F.col("reachable").alias(n))
+    rows = side(before, "reachable_before").join(side(after, "reachable_after").hint("merge"), ["name", "layer"], "full").fillna(0, ["reachable_before", "reachable_after"])
+    return rows.withColumn("change", F.col("reachable_after") - F.col("reachable_before"))

@@ -173,6 +173,15 @@ class Engine:
             "articulation_points": points.join(nodes.hint("merge"), "id").select("name").orderBy("name"), "bridges": cut_edges, "communities": graph.communities(graph.label_propagation(nodes, links)),
         }
 
+    def rankings(self, by: str = "load_bearing") -> DataFrame:
+        """Visible theorems by load_bearing (edges that rest on one), connected (edges on either side) or bridge (betweenness), the more load-bearing first among equals, then by name."""
+        if by not in ("load_bearing", "connected", "bridge"):
+            raise ValueError(f"unknown ranking {by!r}")
+        nodes, links = self._graph
+        rows = graph.degrees(nodes, links).join(graph.betweenness(nodes, links).hint("merge"), "id").where("kind = 'theorem'")
+        ranked = rows.select("name", F.col("in_degree").alias("load_bearing"), (F.col("in_degree") + F.col("out_degree")).alias("connected"), F.round("betweenness", 6).alias("bridge"))
+        return ranked.orderBy(F.desc(by), F.desc("load_bearing"), "name").limit(self.limit)
+
     # --- structure
 
     def compare(self, left: str, right: str) -> DataFrame:
@@ -459,6 +468,7 @@ def run(spark: SparkSession, argv: list[str], corpus: Corpus | None = None) -> s
         "graph": lambda: text.graph(e.graph(), e.limit) if form == "text" else tables(e.graph()),
         "discover": lambda: text.discovery(e.discover(o.lens), e.limit) if form == "text" else tables(e.discover(o.lens)),
         "inspect": lambda: text.lenses(a[0], e.inspect(a[0], o.lens), e.limit) if form == "text" else tables(e.inspect(a[0], o.lens)),
+        "rankings": lambda: one(e.rankings(*a[:1]), "Theorems"),
         "search": lambda: one(e.search(a[0]), "Search"),
         "validate": lambda: one(e.violations(), "Violations"),
         "export": lambda: e.emit(e.export(a[0]), form if form != "text" else "csv", export=True),

@@ -203,6 +203,16 @@ def test_lenses_show_real_witnesses(spark, tmp_path):
     assert {r.layer for r in Engine(spark, source=c, both_layers=True).discover("neighbors")["neighbors"].collect()} == {"statement", "proof"}
 
 
+def test_more_declarations_change_influence(spark, tmp_path, rows, corpus):
+    more = SnapshotCorpus.of(snapshot.merge_snapshots([rows, load(spark, tmp_path, document([declared("F", ["Nat"], ["A"]), declared("G", ["Nat"], ["F"])], ["Nat", "A"]))]))
+    before, after = (Engine(spark, source=c).discover("influence")["influence"] for c in (corpus, more))
+    got = {r.name: (r.reachable_before, r.reachable_after, r.change) for r in lenses.influence_change(before, after).collect()}
+    assert got == {"B": (2, 4, 2), "C": (2, 4, 2), "A": (0, 2, 2), "F": (0, 1, 1)}
+    assert [(r.name, r.load_bearing, r.connected) for r in Engine(spark, source=corpus, limit=2).rankings().collect()] == [("B", 2, 3), ("A", 1, 2)]
+    with pytest.raises(ValueError):
+        Engine(spark, source=corpus).rankings("beauty")
+
+
 def test_bridge_pairs_have_the_first_witness(spark):
     links = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (9, 4), (9, 5), (9, 9)], "src bigint, dst bigint")
     region = spark.createDataFrame([(1, "b", "r1"), (2, "a", "r1"), (3, "c", "r2"), (4, "d", "r2"), (5, "e", "r3"), (9, "x", "r1")], "id bigint, name string, region string")
