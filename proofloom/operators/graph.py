@@ -7,7 +7,7 @@ round ends in a written table, so plans stay short and a lost executor costs one
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.operators.skew import number_within_keys
@@ -119,11 +119,10 @@ def pagerank(nodes: DataFrame, links: DataFrame, weighted: bool = False, damping
     steps = cut(steps.union(dangling.select(F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(1.0).alias("share"))), "steps")
     ids, steps = _placed(cut(nodes.select("id"), "ids"), "id"), _placed(steps, "src")
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        lost = Observation()
+    for _ in range(rounds):
         sent = ranks.join(steps.hint("merge"), ranks["id"] == steps["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        got = cut(sent.observe(lost, F.sum(F.when(F.col("id").isNull(), F.col("got"))).alias("spread")), f"got-{k}")
-        spread = lost.get["spread"] or 0.0
+        got = cut(sent, "got")
+        spread = got.where("id is null").agg(F.sum("got")).first()[0] or 0.0
         ranks = ids.join(got.hint("merge"), "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(spread / n))).alias("rank"))
     out = cut(ranks, "ranks")
     ids.unpersist()

@@ -7,11 +7,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SMALL_ROWS = 100_000
+SMALL_ROWS, SMALL_BYTES = 100_000, 4 << 20
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -59,21 +58,26 @@ def shared_local_path(spark: SparkSession) -> str | None:
     return root if root.startswith("/") and "://" not in root else None
 
 
+def _stored_bytes(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def cut(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back: the lineage ends there,
     columns stay prunable, and a lost executor takes nothing with it.
 
     The planner knows such a table by its compressed size and would broadcast what takes many times as much in memory. So joins with it are merge joins, unless all
-    its columns have a fixed width and it has at most ``SMALL_ROWS`` rows, counted while it is written: some megabytes that may be broadcast.
+    its columns have a fixed width and it has at most ``SMALL_ROWS`` rows (told by the footers of its files, if these are small): some megabytes that may be broadcast.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    fixed = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema)
-    seen = Observation() if fixed else None
-    writer = (df.observe(seen, F.count(F.lit(1)).alias("rows")) if seen else df).write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    return back if seen and seen.get["rows"] <= SMALL_ROWS else back.hint("merge")
+    fixed = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema)
+    small = fixed and _stored_bytes(spark, path) <= SMALL_BYTES and back.count() <= SMALL_ROWS
+    return back if small else back.hint("merge")
 
 
 def clear_scratch() -> None:
