@@ -250,8 +250,8 @@ coalesce(a.total_occurrences, 0) statement_occurrences, coalesce(b.total_occurre
     "export_metrics": f"""with {BASE}, w as (select decl_id, max(total_occurrences) filter (layer = 'statement') statement_occurrences, max(unique_nodes) filter (layer = 'statement') statement_unique_nodes, max(distinct_constants) filter (layer = 'statement') statement_dependencies,
   max(total_occurrences) filter (layer = 'proof') value_occurrences, max(unique_nodes) filter (layer = 'proof') value_unique_nodes, max(distinct_constants) filter (layer = 'proof') value_dependencies from x group by 1)
 select name, coalesce(module_name, '') "module", kind, generation_kind is not null as generated, start_line is not null source_backed, doc_string is not null has_documentation, coalesce(len(list_distinct(list_filter(axioms, lambda a: a is not null))), 0) axiom_count,
-coalesce(statement_occurrences, 0) statement_occurrences, coalesce(statement_unique_nodes, 0) statement_unique_nodes, 0::bigint statement_depth, coalesce(statement_dependencies, 0) statement_dependencies,
-coalesce(value_occurrences, 0) value_occurrences, coalesce(value_unique_nodes, 0) value_unique_nodes, 0::bigint value_depth, coalesce(value_dependencies, 0) value_dependencies from v left join w on v.decl_id = w.decl_id""",
+coalesce(w.statement_occurrences, 0) statement_occurrences, coalesce(w.statement_unique_nodes, 0) statement_unique_nodes, 0::bigint statement_depth, coalesce(w.statement_dependencies, 0) statement_dependencies,
+coalesce(w.value_occurrences, 0) value_occurrences, coalesce(w.value_unique_nodes, 0) value_unique_nodes, 0::bigint value_depth, coalesce(w.value_dependencies, 0) value_dependencies from v left join w on v.decl_id = w.decl_id""",
     "dependents_rollups": f"""with {BASE} select target, 'module' as rollup, coalesce(source_module, '<unknown>') as "value", sum(occurrences)::bigint occurrences from f group by all
 union all select target, 'kind', coalesce(source_kind, '<unknown>'), sum(occurrences)::bigint from f group by all""",
     "dependents_listed": f"""with {BASE}, r as (select source, target, layer, occurrences, row_number() over (partition by target order by source, layer) place, count(*) over (partition by target) n from f)
