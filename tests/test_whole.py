@@ -32,6 +32,12 @@ def both(monkeypatch, make, digits=9):
     return held, plain(make())
 
 
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_labels(made, monkeypatch, rounds):
+    held, by_rounds = both(monkeypatch, lambda: graph.label_propagation(*made, rounds))
+    assert held == by_rounds and len({r[1] for r in held}) > 5
+
+
 def test_influence_witnesses(made, monkeypatch):
     nodes, links = made
     if nodes.select("name").distinct().count() < 60:
