@@ -38,6 +38,14 @@ def test_labels(made, monkeypatch, rounds):
     assert held == by_rounds and len({r[1] for r in held}) > 5
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("form", ["array", "text", "ends"])
+def test_traverse(made, monkeypatch, form, reverse):
+    nodes, links = made
+    held, rounds = both(monkeypatch, lambda: graph.traverse(nodes, links, nodes.where("id % 3 = 0"), 4, reverse, form))
+    assert held == rounds and len(held) > 60
+
+
 def test_influence_witnesses(made, monkeypatch):
     nodes, links = made
     if nodes.select("name").distinct().count() < 60:
