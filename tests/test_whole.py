@@ -46,6 +46,15 @@ def test_traverse(made, monkeypatch, form, reverse):
     assert held == rounds and len(held) > 60
 
 
+@pytest.mark.parametrize("depth", [0, 2, 32])
+def test_influence(made, monkeypatch, depth):
+    nodes, links = made
+    shown = nodes.where("id % 4 <> 0")
+    region = shown.withColumn("region", F.concat(F.lit("r"), (F.col("id") % 9).cast("string"))).where("id % 5 <> 0")
+    held, rounds = both(monkeypatch, lambda: lenses.influence(links, shown, region, depth))
+    assert held == rounds and (not depth or len(held) > 10)
+
+
 def test_influence_witnesses(made, monkeypatch):
     nodes, links = made
     if nodes.select("name").distinct().count() < 60:
@@ -60,3 +69,13 @@ def test_nulls_are_left_to_the_rounds(spark, made):
     nameless = nodes.withColumn("name", F.when(F.col("id") % 2 == 0, F.col("name")))
     assert whole.of(nameless, links.select("src", "dst")) is None
     assert whole.of(nameless, links.select("src", "dst"), nullable=("name",)) is not None
+
+
+def test_many_roots_in_words_of_bits(spark, monkeypatch):
+    """130 roots on a ring with chords: three words, the last one partly used."""
+    n = 130
+    nodes = spark.createDataFrame([(i, f"N{i:03d}") for i in range(n)], "id bigint, name string")
+    links = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(i, (i * 7 + 3) % n) for i in range(0, n, 4) if (i * 7 + 3) % n != (i + 1) % n], "src bigint, dst bigint")
+    region = nodes.withColumn("region", (F.col("id") % 6).cast("string"))
+    held, rounds = both(monkeypatch, lambda: lenses.influence(links, nodes, region, 9))
+    assert held == rounds and len(held) == n
