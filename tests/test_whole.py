@@ -55,6 +55,15 @@ def test_influence(made, monkeypatch, depth):
     assert held == rounds and (not depth or len(held) > 10)
 
 
+@pytest.mark.parametrize("depth", [2, 32])
+def test_influence_members(made, monkeypatch, depth):
+    nodes, links = made
+    shown = nodes.where("id % 4 <> 0")
+    region = shown.withColumn("region", F.concat(F.lit("r"), (F.col("id") % 9).cast("string"))).where("id % 5 <> 0")
+    held, rounds = both(monkeypatch, lambda: lenses.influence_members(links, shown, region, nodes.where("id % 3 = 0").select("id"), depth))
+    assert held == rounds and len(held) > 10
+
+
 def test_influence_witnesses(made, monkeypatch):
     nodes, links = made
     if nodes.select("name").distinct().count() < 60:
