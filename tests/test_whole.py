@@ -32,6 +32,12 @@ def both(monkeypatch, make, digits=9):
     return held, plain(make())
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_pagerank(made, monkeypatch, weighted):
+    held, rounds = both(monkeypatch, lambda: graph.pagerank(*made, weighted, rounds=8))
+    assert held == rounds and len(held) == 60
+
+
 @pytest.mark.parametrize("rounds", [1, 6])
 def test_labels(made, monkeypatch, rounds):
     held, by_rounds = both(monkeypatch, lambda: graph.label_propagation(*made, rounds))
