@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofloom.functions import csr
 from proofloom.operators import graph, lenses, whole
 
 
@@ -94,3 +96,19 @@ def test_many_roots_in_words_of_bits(spark, monkeypatch):
     region = nodes.withColumn("region", (F.col("id") % 6).cast("string"))
     held, rounds = both(monkeypatch, lambda: lenses.influence(links, nodes, region, 9))
     assert held == rounds and len(held) == n
+
+
+def test_betweenness(made, monkeypatch):
+    held, rounds = both(monkeypatch, lambda: graph.betweenness(*made), 6)
+    assert held == rounds and len(held) == 60
+
+
+def test_betweenness_of_a_long_chain_and_many_roots():
+    """More levels than a byte holds, and more roots than a word; a chain with a second way round one node."""
+    n = 400
+    g = object.__new__(csr.Graph)
+    g.n, g.ids, g._steps = n, np.arange(n), {}
+    g.src, g.dst = np.array([*range(n - 1), 0, n - 1]), np.array([*range(1, n), 2, n - 1])
+    want = [k * (n - 1 - k) for k in range(n)]
+    want[1] = 0  # 0 goes to 2 at once
+    assert np.allclose(csr.betweenness(g, np.arange(n)), want)
